@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexiloom.llm.byte_bpe import op8_byte_bpe
 from lexiloom.llm.sharding import op3_sharding
 from lexiloom.llm.token_files import op1_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_sharding": op3_sharding,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
