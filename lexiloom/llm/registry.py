@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm.byte_bpe import op8_byte_bpe
+from lexiloom.llm import mixing
 from lexiloom.llm.sharding import op3_sharding
 from lexiloom.llm.simhash import op6_simhash
 from lexiloom.llm.token_files import op1_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_mixing": mixing.op2_mixing,
     "op3_sharding": op3_sharding,
     "op6_simhash": op6_simhash,
     "op8_byte_bpe": op8_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": mixing.ORACLE,
+}
