@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm.byte_bpe import op8_byte_bpe
 from lexiloom.llm import mixing
+from lexiloom.llm.order_minhash import op4_order_minhash
 from lexiloom.llm.sharding import op3_sharding
 from lexiloom.llm.simhash import op6_simhash
 from lexiloom.llm.token_files import op1_token_files
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_mixing": mixing.op2_mixing,
     "op3_sharding": op3_sharding,
+    "op4_order_minhash": op4_order_minhash,
     "op6_simhash": op6_simhash,
     "op8_byte_bpe": op8_byte_bpe,
 }
