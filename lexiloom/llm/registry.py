@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexiloom.llm.byte_bpe import op8_byte_bpe
 from lexiloom.llm import mixing
+from lexiloom.llm.html_text import op10_html_text
 from lexiloom.llm.order_minhash import op4_order_minhash
 from lexiloom.llm.sharding import op3_sharding
 from lexiloom.llm.simhash import op6_simhash
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_order_minhash": op4_order_minhash,
     "op6_simhash": op6_simhash,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_html_text": op10_html_text,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing.ORACLE,
