@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexiloom.llm.byte_bpe import op8_byte_bpe
 from lexiloom.llm import mixing
 from lexiloom.llm.html_text import op10_html_text
+from lexiloom.llm.multiprobe import op5_multiprobe
 from lexiloom.llm.order_minhash import op4_order_minhash
 from lexiloom.llm.sharding import op3_sharding
 from lexiloom.llm.simhash import op6_simhash
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": mixing.op2_mixing,
     "op3_sharding": op3_sharding,
     "op4_order_minhash": op4_order_minhash,
+    "op5_multiprobe": op5_multiprobe,
     "op6_simhash": op6_simhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_html_text": op10_html_text,
