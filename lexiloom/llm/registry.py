@@ -14,6 +14,7 @@ from lexiloom.llm.order_minhash import op4_order_minhash
 from lexiloom.llm.sharding import op3_sharding
 from lexiloom.llm.simhash import op6_simhash
 from lexiloom.llm.token_files import op1_token_files
+from lexiloom.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_order_minhash": op4_order_minhash,
     "op5_multiprobe": op5_multiprobe,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_html_text": op10_html_text,
 }
