@@ -7,8 +7,8 @@ difference falls below zero, which only overfitting can make, its gradient is re
 
 Training reads bounded samples (POSITIVES toxic and UNLABELLED other training documents, the
 first by a hash of the id), so it costs the same at any size; scoring reads every text whole.
-Features are kept that two toxic documents share and that are more frequent in toxic text
-than in unlabelled text. The class prior is the toxic share of the training labels.
+Features are kept that two toxic documents share and that are far more frequent in toxic
+text than in clean text, as the prior divides the unlabelled. The class prior is the toxic share of the training labels.
 
 Training rows are those whose crc32 of the id as text isn't divisible by FOLDS; labels of
 other rows are never read. Labels, language, source and id are no inputs of a score.
@@ -39,7 +39,7 @@ FEATURES = 4096
 BEGINNINGS = (4, 5, 6, 7, 8)
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
 #: Smoothing of the selection, in documents, and the log ratio and significance a feature needs.
-SMOOTH, RATIO, SIGNIFICANCE = 0.5, 1.5, 6.0
+SMOOTH, RATIO, SIGNIFICANCE = 0.5, 2.5, 6.0
 FILTER_BITS = 22
 #: Bytes that end a word: ASCII but letters and digits.
 SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -91,8 +91,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def select_features(toxic: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
-    """The features, ascending, that set toxic texts apart from unlabelled ones."""
+def select_features(toxic: list[np.ndarray], other: list[np.ndarray], prior: float) -> np.ndarray:
+    """The features, ascending, that set toxic texts apart from what the prior leaves of the unlabelled as clean."""
     if not toxic:
         return np.zeros(0, np.uint64)
     names, in_toxic = np.unique(np.concatenate(toxic), return_counts=True)
@@ -103,7 +103,8 @@ def select_features(toxic: list[np.ndarray], other: list[np.ndarray]) -> np.ndar
         at = at[at < len(names)][names[at[at < len(names)]] == f[at < len(names)]]
         in_other[at] += 1
     share, base = (in_toxic + SMOOTH) / (len(toxic) + 1), (in_other + SMOOTH) / (len(other) + 1)
-    ratio = np.log(share / base)
+    clean = np.maximum(base - prior * share, SMOOTH / (len(other) + 1)) / (1 - prior)
+    ratio = np.log(share / clean)
     spread_of = np.sqrt(base * (1 - np.minimum(base, 0.999)) / len(toxic))
     keep = (ratio > RATIO) & ((share - base) / spread_of > SIGNIFICANCE)
     gain = np.where(keep, in_toxic * ratio, -1.0)
@@ -113,7 +114,7 @@ def select_features(toxic: list[np.ndarray], other: list[np.ndarray]) -> np.ndar
 
 def train(toxic: list[np.ndarray], other: list[np.ndarray], prior: float) -> Model:
     """The model from the distinct features of toxic and of unlabelled texts."""
-    features = select_features(toxic, other)
+    features = select_features(toxic, other, prior)
     bias = float(np.log(prior / (1 - prior)))
     if not len(features):
         return Model(features, np.zeros(0), bias, prior)
@@ -151,7 +152,8 @@ def train(toxic: list[np.ndarray], other: list[np.ndarray], prior: float) -> Mod
         gradient[:-1] += DECAY * w[:-1]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
-        w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        rate = RATE * (1 - (step - 1) / STEPS)  # falling, so that the reversals die away
+        w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return Model(features, w[:-1].copy(), float(w[-1]), prior)
 
 
