@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexiloom.llm.byte_bpe import op8_byte_bpe
 from lexiloom.llm import mixing
 from lexiloom.llm.html_text import op10_html_text
+from lexiloom.llm.license_scan import op9_license_scan
 from lexiloom.llm.multiprobe import op5_multiprobe
 from lexiloom.llm.order_minhash import op4_order_minhash
 from lexiloom.llm.sharding import op3_sharding
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_license_scan": op9_license_scan,
     "op10_html_text": op10_html_text,
 }
 ORACLE_SQL: dict[str, str] = {
