@@ -84,8 +84,8 @@ def block_bounds(blocks: int) -> list[tuple[int, int]]:
 
 
 def agreeing(nodes: int, distance: int) -> int:
-    """How many blocks to ask agreement on, so that buckets of unrelated nodes hold about BUCKET."""
-    k = 1
+    """How many blocks to ask agreement on, so that buckets of unrelated nodes hold about BUCKET; two at least."""
+    k = 2
     while k < 4 and nodes / 2.0 ** (BITS * k / (distance + k)) > BUCKET:
         k += 1
     return k
