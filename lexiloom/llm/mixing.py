@@ -26,7 +26,7 @@ gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import durable, table
@@ -46,12 +46,12 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Narrow rows (rid, doc_id, source, size, h), written once."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", rid: Column | None = None) -> DataFrame:
+    """Narrow rows (rid, doc_id, source, size, h), written once; rid numbers the rows, unless it is given."""
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
-    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return durable(rows.withColumns({"h": h, "rid": F.monotonically_increasing_id()}), "sizes")
+    rid = F.monotonically_increasing_id() if rid is None else rid
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), rid.alias("rid"))
+    return durable(rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "sizes")
 
 
 def source_targets(rows: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
@@ -118,13 +118,15 @@ def streams(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return r.join(sums, ["s", "g"]).withColumn("start", F.col("base") + F.col("inner")).drop("g", "base", "inner")
 
 
-def plan(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def plan(
+    docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", rid: Column | None = None
+) -> DataFrame:
     """The mix as pieces: one row for each run of a document's words that a drawn block takes.
 
     rid, doc_id, size, source_size, target; shard, pass, first_word and n_words (null where the
     document isn't drawn), and place, by which a shard's pieces are ordered.
     """
-    rows = sizes(docs, id_col, source_col, text_col)
+    rows = sizes(docs, id_col, source_col, text_col, rid)
     sources = durable(source_targets(rows, shards, blocks), "sources")
     drawn = durable(drawn_blocks(sources, shards), "drawn")
     r = streams(rows, sources)
@@ -146,6 +148,32 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def materialise(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
+    """The mix itself, in the columns of docs: a row for each run of a document's words that a pass draws.
+
+    A run that is the whole document keeps its text; any other has the text from its first word to
+    its last, and its own number of characters.
+    """
+    rid = "_mix_rid"
+    numbered = durable(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    pieces = plan(numbered, text_col=text_col, rid=F.col(rid), **options).where("n_words is not null")
+    along = Window.partitionBy("rid", "pass").orderBy("first_word")
+    starts = F.when(F.lag(F.col("first_word") + F.col("n_words")).over(along) == F.col("first_word"), 0).otherwise(1)
+    runs = pieces.withColumn("starts", starts).withColumn("run", F.sum("starts").over(along))
+    runs = runs.groupBy("rid", "pass", "run", "size").agg(F.min("first_word").alias("_mix_first"), F.sum("n_words").alias("_mix_n"))
+    runs = runs.select(F.col("rid").alias(rid), F.col("size").alias("_mix_size"), "_mix_first", "_mix_n")
+    got = numbered.join(runs, rid)
+    # each word with the white space after it; white space before the first word is a part of its own
+    parts = F.split(F.col(text_col), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    lead = F.col(text_col).rlike(r"^[\x20\x09-\x0D]").cast("int")
+    run = F.array_join(F.slice(parts, (F.col("_mix_first") + 1 + lead).cast("int"), F.col("_mix_n").cast("int")), "")
+    text = F.when(F.col("_mix_n") == F.col("_mix_size"), F.col(text_col)).otherwise(F.regexp_replace(run, r"[\x20\x09-\x0D]+$", ""))
+    got = got.withColumn(text_col, text)
+    if chars_col in docs.columns:
+        got = got.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType))
+    return got.select(*docs.columns)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents"))
 

@@ -218,22 +218,44 @@ def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def classes(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (the least doc_id that links reach) of each row."""
+    """doc_id, fp, root (a fingerprint that names the class), component_id (the least doc_id that links reach) of each row."""
     marked = durable(fingerprints(docs, words, id_col, text_col), "fingerprints")
     nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), distance))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = durable(named, "roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of docs, with one row of each class: the one with the class's least id."""
-    found = classes(docs, words, distance, id_col, text_col)
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(firsts, docs[id_col].eqNullSafe(firsts["doc_id"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+def with_fingerprint(docs: DataFrame, name: str, words: int = 4, text_col: str = "text") -> DataFrame:
+    """docs with one more column, the fingerprint."""
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.fromiter((fingerprint(t, words) for t in batch.column(at).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*names, name])
+
+    return map_arrow(docs, run, type(docs.schema)(list(docs.schema.fields)).add(name, "long"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, distance: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of docs, with one row of each class: one with the class's least id.
+
+    Where ids are unique, which is counted, the rows of other ids go. Where some repeat, a row
+    is known by id and fingerprint together, and of the rows of a class's chosen pair one stays.
+    """
+    found = durable(classes(docs, words, distance, id_col, text_col), "classes")
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        others = found.where(~least).select("doc_id")
+        return docs.join(others, docs[id_col].eqNullSafe(others["doc_id"]), "left_anti")
+    first = found.where(least).groupBy("root", "component_id").agg(F.min("fp").alias("_keep_fp"))
+    first = first.select(F.col("component_id").alias("_keep_id"), "_keep_fp")
+    marked = with_fingerprint(docs, "_own_fp", words, text_col)
+    kept = marked.join(first, marked[id_col].eqNullSafe(first["_keep_id"]) & (marked["_own_fp"] == first["_keep_fp"]), "left_semi")
+    return kept.dropDuplicates([id_col, "_own_fp"]).drop("_own_fp")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
