@@ -13,6 +13,7 @@ doc_ids stay separate documents, ordered by their text's hash.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,14 +24,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import map_arrow, parts, table, work_path
+from lexiloom.llm.byte_bpe import byte_letters
+from lexiloom.llm.common import column_bytes, map_arrow, parts, table, work_path
+from lexiloom.llm.words import word_hashes
 
 MAGIC = b"LXTB"
 BLOCK = 4096
 #: A segment is closed after the document with which it reaches this many ids.
 SEGMENT = 1 << 16
-#: Words remembered by a worker, and the longest word worth remembering.
-CACHE_WORDS, CACHE_LENGTH = 300_000, 48
+#: Words remembered by a worker (half as many pieces), and pieces known to be odd.
+CACHE_WORDS, CACHE_PIECES = 1_000_000, 100_000
+#: Bytes at which texts are cut into words.
+WORD_ENDS = np.zeros(256, bool)
+WORD_ENDS[[9, 10, 13, 32]] = True
+#: All bytes but those of letters (taking every byte above ASCII for one), and all but marks (printable ASCII; the apostrophe begins some pieces).
+NO_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
+NO_MARK = np.array([not 33 <= b <= 126 or chr(b).isalnum() or chr(b) == "'" for b in range(256)])
 HEADER = struct.Struct("<4sBBHIQ")  # magic, version, bits, block length, documents, ids
 
 
@@ -100,37 +109,165 @@ class Segment:
         return self.ids(int(self.ends[k]), int(self.ends[k + 1]))
 
 
+class IdTable:
+    """Runs of ids by 64-bit name, in sorted arrays; it forgets names not met lately."""
+
+    def __init__(self, size: int):
+        self.size, self.round = size, 0
+        self.names, self.begin, self.count, self.last = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+        self.pool = np.zeros(0, np.uint32)
+
+    def missing(self, names: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.ones(len(names), bool)
+        return self.names[np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)] != names
+
+    def add(self, names: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """names ascend and are missing; ids holds their runs one after the other."""
+        at = np.searchsorted(self.names, names)
+        begin = np.cumsum(count) - count + len(self.pool)
+        self.pool = np.concatenate([self.pool, ids])
+        self.names, self.begin, self.count = np.insert(self.names, at, names), np.insert(self.begin, at, begin), np.insert(self.count, at, count)
+        self.last = np.insert(self.last, at, self.round)
+
+    def at(self, names: np.ndarray) -> np.ndarray:
+        """Places of names, none of which is missing."""
+        at = np.searchsorted(self.names, names)
+        self.last[at] = self.round
+        return at
+
+    def runs(self, at: np.ndarray) -> np.ndarray:
+        """The ids at these places, one run after the other."""
+        count = self.count[at]
+        ends = np.cumsum(count)
+        return self.pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[at] - (ends - count), count)]
+
+    def next_round(self) -> None:
+        self.round += 1
+        if len(self.names) > self.size:
+            order = np.argsort(-self.last, kind="stable")[: self.size // 2]
+            keep = np.sort(order)
+            pool, count = self.runs(keep), self.count[keep]
+            self.names, self.count, self.last = self.names[keep], count, self.last[keep]
+            self.begin, self.pool = np.cumsum(count) - count, pool
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizer that never joins across white space, remembering its words.
 
     Text is cut at blanks, tabs and line ends only; all of these end a word for the
-    tokenizer's own splitter, so the ids are those of the whole text.
+    tokenizer's own splitter, so the ids are those of the whole text. A word of letters
+    and then ASCII punctuation is two pieces of that splitter; a piece of letters goes
+    straight to the library's merge model. Any other word goes through the whole
+    tokenizer. Known words and pieces are found by 64-bit hashes.
     """
 
-    def __init__(self, tokenizer_json: str):
-        import os
+    of_process: dict[int, WordEncoder] = {}
 
+    def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.cache: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set().union(*words).difference(self.cache))
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, np.uint32).tobytes()
-        get = self.cache.__getitem__
-        out = [np.frombuffer(b"".join(map(get, w)), np.uint32) for w in words]
-        for w in new:
-            if len(w) > CACHE_LENGTH:
-                del self.cache[w]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        return out
+        self.normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        self.merge = self.tokenizer.model.tokenize
+        self.bytes_to_letters = str.maketrans(dict(enumerate(byte_letters())))
+        self.words, self.pieces = IdTable(CACHE_WORDS), IdTable(CACHE_WORDS // 2)
+        self.odd = np.zeros(0, np.uint64)  # pieces of letters and other characters
+        #: whether pieces may go straight to the merges: splitter and normaliser of the known kind, tried on a sample
+        self.direct = True
+        sample = "Plain words, été... Ünder!? don't a;'s ß ŋ<| İx. ΑΣ. x1 (a) b-c"
+        raw = np.frombuffer(sample.encode(), np.uint8)
+        if self(raw, np.array([0, len(raw)]))[0].tolist() != self._whole(sample):
+            self.direct, self.words = False, IdTable(CACHE_WORDS)
+
+    @classmethod
+    def shared(cls, tokenizer_json: str) -> WordEncoder:
+        """The encoder of this worker process: its words outlast a task."""
+        key = hash(tokenizer_json)
+        if key not in cls.of_process:
+            cls.of_process[key] = cls(tokenizer_json)
+        return cls.of_process[key]
+
+    def _whole(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _learn_pieces(self, raw: bytes, data: np.ndarray, ends: np.ndarray, separators: np.ndarray, letters: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, start and length of the runs of other bytes than separators, all of them among the pieces."""
+        hashes, starts, lengths = word_hashes(data, ends, separators, lower=letters)
+        names, sample = np.unique(hashes, return_index=True)
+        new = self.pieces.missing(names) & ~np.isin(names, self.odd)
+        found: list[list[int]] = []
+        odd = []
+        for i, (a, n) in enumerate(zip(starts[sample[new]].tolist(), lengths[sample[new]].tolist(), strict=True)):
+            piece = raw[a : a + n].decode()
+            if letters:
+                piece = piece.lower() if piece.isascii() else self.normal(piece)
+                if not piece.isalpha():
+                    odd.append(i)
+                    found.append([])
+                    continue
+                piece = piece.encode().decode("latin-1").translate(self.bytes_to_letters)
+            found.append([t.id for t in self.merge(piece)])
+        good = np.ones(len(found), bool)
+        good[odd] = False
+        added = names[new]
+        self.odd = np.union1d(self.odd, added[~good])[-CACHE_PIECES:]
+        count = np.array([len(f) for f in found], np.int64)
+        self.pieces.add(added[good], np.array([x for f in found for x in f], np.uint32), count[good])
+        return hashes, starts, lengths
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Encode the words at starts and put them among the known ones; hashes ascend and are missing."""
+        ends = np.cumsum(lengths)
+        data = data[np.arange(int(ends[-1])) + np.repeat(starts - (ends - lengths), lengths)]  # the words, one after the other
+        raw, begins = data.tobytes(), ends - lengths
+        simple = np.zeros(len(hashes), bool)
+        heads = tails = np.zeros(0, np.int64)
+        if self.direct:
+            bounds = np.concatenate([begins, ends[-1:]])
+            core, at, size = self._learn_pieces(raw, data, bounds, NO_LETTER, True)
+            marks, marks_at, _ = self._learn_pieces(raw, data, bounds, NO_MARK, False)
+            i = np.minimum(np.searchsorted(at, begins), len(at) - 1)
+            rest = np.concatenate([[0], np.cumsum(NO_MARK[data])])
+            after = begins + size[i] if len(at) else begins
+            if len(at):  # letters from the start, then marks to the end
+                simple = (at[i] == begins) & (rest[ends] == rest[np.minimum(after, ends)]) & ~self.pieces.missing(core[i])
+                heads = self.pieces.at(core[i][simple])
+                j = np.searchsorted(marks_at, after)
+                with_marks = simple & (after < ends)
+                tails = np.full(len(hashes), -1)
+                tails[with_marks] = self.pieces.at(marks[j[with_marks]])
+                tails = tails[simple]
+        ids: list[np.ndarray] = []
+        count = np.zeros(len(hashes), np.int64)
+        order = np.stack([heads, tails], axis=1).ravel() if len(heads) else np.zeros(0, np.int64)
+        order = order[order >= 0]
+        joined = self.pieces.runs(order)
+        count[simple] = self.pieces.count[heads] + np.where(tails >= 0, self.pieces.count[np.maximum(tails, 0)], 0) if len(heads) else 0
+        whole = (~simple).nonzero()[0]
+        for k in whole.tolist():
+            ids.append(np.array(self._whole(raw[begins[k] : ends[k]].decode()), np.uint32))
+            count[k] = len(ids[-1])
+        out = np.empty(int(count.sum()), np.uint32)
+        of_whole = np.repeat(~simple, count)
+        out[~of_whole] = joined
+        out[of_whole] = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        self.words.add(hashes, out, count)
+
+    def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts data[bounds[i]:bounds[i + 1]] together, and each text's number of ids."""
+        self.words.next_round()
+        self.pieces.next_round()
+        hashes, starts, lengths = word_hashes(data, bounds, WORD_ENDS)
+        names, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+        new = self.words.missing(names)
+        if new.any():
+            some = sample[new]
+            self._learn(names[new], data, starts[some], lengths[some])
+        at = self.words.at(names)[which]
+        per_word = np.concatenate([[0], np.cumsum(self.words.count[at])])
+        return self.words.runs(at), np.diff(per_word[np.searchsorted(starts, bounds)])
 
 
 SCHEMA = "part int, seq int, first_doc long, last_doc long, n_docs long, n_ids long, part_start long, payload binary"
@@ -147,7 +284,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     shipped = spark.sparkContext.broadcast(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(shipped.value)
+        encode = WordEncoder.shared(shipped.value)
         part, seq, done = TaskContext.get().partitionId(), 0, 0
         held_docs: list[int | None] = []
         held: list[np.ndarray] = []
@@ -162,10 +299,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            ids, count = encode(*column_bytes(batch.column(1)))
+            for doc, own in zip(batch.column(0).to_pylist(), np.split(ids, np.cumsum(count)[:-1]), strict=True):
                 held_docs.append(doc)
-                held.append(np.concatenate([ids, end]))
-                n += len(ids) + 1
+                held.append(np.concatenate([own, end]))
+                n += len(own) + 1
                 if n >= SEGMENT:
                     yield segment()
                     seq, done, n = seq + 1, done + n, 0
