@@ -56,17 +56,22 @@ def times(batch: pd.DataFrame, right: np.ndarray) -> np.ndarray:
     return out
 
 
-def summed(partials: DataFrame, n_cols: int, width: int) -> np.ndarray:
-    """The matrix whose rows are the sums of partial rows (k, vec); partial rows are added before the shuffle too."""
+def added(partials: DataFrame) -> DataFrame:
+    """(k, vec): the sums of partial rows (k, vec); they are added before the shuffle too."""
     sums = partials.select("k", array_to_vector("vec").alias("vec")).groupBy("k").agg(Summarizer.sum(F.col("vec")).alias("vec"))
-    out = np.zeros((n_cols, width))
-    for row in sums.select("k", vector_to_array("vec").alias("vec")).toLocalIterator():  # at most n_cols rows of width numbers
+    return sums.select("k", vector_to_array("vec").alias("vec"))
+
+
+def gathered(sums: DataFrame, n: int, width: int) -> np.ndarray:
+    """A matrix from its rows (k, vec): n rows of width numbers at most."""
+    out = np.zeros((n, width))
+    for row in sums.toLocalIterator():
         out[row.k] = row.vec
     return out
 
 
-def transposed_times(rows: DataFrame, n_cols: int, right, width: int) -> np.ndarray:
-    """A' times the matrix that right(batch) gives for a batch's rows."""
+def transposed_times(rows: DataFrame, n_cols: int, right) -> DataFrame:
+    """(k, vec): A' times the matrix that right(batch) gives for a batch's rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -80,14 +85,18 @@ def transposed_times(rows: DataFrame, n_cols: int, right, width: int) -> np.ndar
                 block = total[lo : lo + 256]
                 yield pd.DataFrame({"k": np.arange(lo, lo + len(block)), "vec": list(block)})
 
-    return summed(rows.mapInPandas(run, "k int, vec array<double>"), n_cols, width)
+    return added(rows.mapInPandas(run, "k int, vec array<double>"))
 
 
-def gram(rows: DataFrame, n_cols: int) -> np.ndarray:
-    """A'A."""
+def gram_rows(rows: DataFrame, n_cols: int) -> DataFrame:
+    """(k, vec): the rows of A'A."""
     if n_cols > MAX_GRAM:
         raise ValueError(f"a Gram matrix of {n_cols} columns is too large; the bound is {MAX_GRAM}")
-    return transposed_times(rows, n_cols, lambda b: dense(b, n_cols), n_cols)
+    return transposed_times(rows, n_cols, lambda b: dense(b, n_cols))
+
+
+def gram(rows: DataFrame, n_cols: int) -> np.ndarray:
+    return gathered(gram_rows(rows, n_cols), n_cols, n_cols)
 
 
 def _signed(v: np.ndarray) -> np.ndarray:
@@ -138,10 +147,10 @@ def truncated_svd(rows: DataFrame, n_rows: int, n_cols: int, rank: int, method:
     def gaussian(batch: pd.DataFrame) -> np.ndarray:
         return np.stack([np.random.default_rng((seed, int(i))).normal(size=r) for i in batch["target_id"]])  # by row, whatever the partitions
 
-    q, _ = np.linalg.qr(transposed_times(rows, n_cols, gaussian, r))
+    q, _ = np.linalg.qr(gathered(transposed_times(rows, n_cols, gaussian), n_cols, r))
     for _ in range(power_iters):
         shipped = rows.sparkSession.sparkContext.broadcast(q)
-        q, _ = np.linalg.qr(transposed_times(rows, n_cols, lambda b, s=shipped: times(b, s.value), r))
+        q, _ = np.linalg.qr(gathered(transposed_times(rows, n_cols, lambda b, s=shipped: times(b, s.value)), n_cols, r))
     shipped = rows.sparkSession.sparkContext.broadcast(q)
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,7 +160,7 @@ def truncated_svd(rows: DataFrame, n_rows: int, n_cols: int, rank: int, method:
             total += b.T @ b
         yield pd.DataFrame({"k": np.arange(r), "vec": list(total)})
 
-    btb = summed(rows.mapInPandas(products, "k int, vec array<double>"), r, r)
+    btb = gathered(added(rows.mapInPandas(products, "k int, vec array<double>")), r, r)
     values, w = np.linalg.eigh(btb)
     return _finish(rows, np.sqrt(np.maximum(values[::-1][:rank], 0)), q @ w[:, ::-1][:, :rank])
 
@@ -159,7 +168,7 @@ def truncated_svd(rows: DataFrame, n_rows: int, n_cols: int, rank: int, method:
 def symmetric_eigen(rows: DataFrame, n: int, rank: int, **options) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues, ascending, and vectors of a symmetric matrix, from the range that its leading triplets span."""
     q = truncated_svd(rows, n, n, rank, **options).v
-    small = q.T @ transposed_times(rows, n, lambda b: q[b["target_id"].to_numpy()], q.shape[1])  # Q'AQ, A being its own transpose
+    small = q.T @ gathered(transposed_times(rows, n, lambda b: q[b["target_id"].to_numpy()]), n, q.shape[1])  # Q'AQ, A being its own transpose
     values, w = np.linalg.eigh((small + small.T) / 2)
     return values, q @ w
 

@@ -201,6 +201,12 @@ def cooc_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(spark, sf_dir).cooc
 
 
+@query(f"WITH {COOC.replace(f'freq >= {MIN_FREQ}', 'freq >= 100')} SELECT target_id, ctx_id, val FROM cooc")
+def cooc_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the default least frequency of targets."""
+    return counted(spark, sf_dir, min_freq=100).cooc
+
+
 @query(f"WITH {BAND},{sql_cooc(f'sum({WINDOW + 1} - abs(a.pos - b.pos)) / {WINDOW}')} SELECT target_id, ctx_id, round(val, 6) AS val FROM cooc")
 def cooc_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(spark, sf_dir, dynamic=True).cooc.withColumn("val", F.round("val", 6))
@@ -286,11 +292,10 @@ def sparse_rows(spark: SparkSession, sf_dir: str) -> tuple[pipeline.Counts, Data
 
 @query(f"WITH {HELLINGER} SELECT p.ctx_id AS i, q.ctx_id AS j, round(sum(p.a * q.a), 6) AS val FROM m p JOIN m q ON p.target_id = q.target_id GROUP BY p.ctx_id, q.ctx_id")
 def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of products of co-occurring columns, from sparse rows: pairs are made within a row and added before the shuffle."""
-    m = cooc.csr(cooc.hellinger(counted(spark, sf_dir).cooc))
-    p = m.select("idx", "val", F.posexplode("idx").alias("at", "i"))
-    pairs = p.select("i", F.get("val", F.col("at")).alias("a"), F.explode(F.arrays_zip("idx", "val")).alias("q"))
-    return pairs.groupBy("i", F.col("q.idx").alias("j")).agg(F.round(F.sum(F.col("a") * F.col("q.val")), 6).alias("val"))
+    """Products of columns, added within each task's rows before the shuffle."""
+    _, rows, n_cols = sparse_rows(spark, sf_dir)
+    found = svd.gram_rows(rows, n_cols).select(F.col("k").alias("i"), F.posexplode("vec").alias("j", "val"))
+    return found.where("val > 0").withColumn("val", F.round("val", 6))
 
 
 @query()
