@@ -222,7 +222,8 @@ def nearest(rows: DataFrame, every: int = EVERY, keep: int = KEEP, id_col: str =
         block = F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("long")
         dim = F.size("v") * F.lit(blocks).cast("long")
         of_rows = classes.select((block + dim).alias("cell"), "cid", "v", "ids")
-        of_queries = starved.select((F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) + dim).alias("cell"), "cid", "v", "ids")
+        every = starved.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        of_queries = every.select((F.col("block") + dim).alias("cell"), "cid", "v", "ids")
         met = met.union(search(tiles(of_rows, of_queries)))
 
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])

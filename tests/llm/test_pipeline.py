@@ -1,0 +1,32 @@
+import pytest
+
+import __spark_entry__ as entry
+from lexiloom.llm import registry
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+def test_stages(spark, sf_dir, documents):
+    docs = documents
+    counts = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.common.durable(stage(spark, docs, sf_dir), "test")
+        assert docs.columns == documents.columns, name
+        counts.append(docs.count())
+    assert counts[0] >= counts[1] >= counts[2] > 0
+    final = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert final.count() == counts[-1]
+    assert corpus_pipeline.run(spark, sf_dir).count() == counts[-1]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "mixing", "byte_bpe"]
+
+
+def test_registered():
+    assert [sum(q.startswith(f"op{n}_") for q in entry.queries()) for n in range(1, 11)] == [1] * 10
+    assert "pipeline" in entry.queries() and set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_queries_run_whole(spark, sf_dir, name):
+    of = {"op5_multiprobe": None, "op10_html_text": "pages"}.get(name, "documents")
+    n = registry.QUERIES[name](spark, sf_dir).count()
+    assert n == (spark.read.parquet(f"{sf_dir}/{of}.parquet").count() if of else 50)
