@@ -38,8 +38,10 @@ FEATURES = 4096
 #: Bytes of word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7, 8)
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
+#: Pull towards 0 of each weight, which leaves only features that carry weight.
+SPARSE = 7e-5
 #: Smoothing of the selection, in documents, and the log ratio and significance a feature needs.
-SMOOTH, RATIO, SIGNIFICANCE = 0.5, 2.5, 6.0
+SMOOTH, RATIO, SIGNIFICANCE = 0.5, 2.5, 4.5
 FILTER_BITS = 22
 #: Bytes that end a word: ASCII but letters and digits.
 SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -105,8 +107,9 @@ def select_features(toxic: list[np.ndarray], other: list[np.ndarray], prior: flo
     share, base = (in_toxic + SMOOTH) / (len(toxic) + 1), (in_other + SMOOTH) / (len(other) + 1)
     clean = np.maximum(base - prior * share, SMOOTH / (len(other) + 1)) / (1 - prior)
     ratio = np.log(share / clean)
-    spread_of = np.sqrt(base * (1 - np.minimum(base, 0.999)) / len(toxic))
-    keep = (ratio > RATIO) & ((share - base) / spread_of > SIGNIFICANCE)
+    pooled = (in_toxic + in_other + SMOOTH) / (len(toxic) + len(other) + 1)
+    chance = np.sqrt(pooled * (1 - pooled) * (1 / len(toxic) + 1 / max(len(other), 1)))  # deviation of the difference of two shares
+    keep = (ratio > RATIO) & ((share - base) / chance > SIGNIFICANCE)
     gain = np.where(keep, in_toxic * ratio, -1.0)
     chosen = np.argsort(-gain, kind="stable")[: min(FEATURES, int(keep.sum()))]
     return np.sort(names[chosen])
@@ -153,7 +156,9 @@ def train(toxic: list[np.ndarray], other: list[np.ndarray], prior: float) -> Mod
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         rate = RATE * (1 - (step - 1) / STEPS)  # falling, so that the reversals die away
-        w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        scale = rate / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        w -= scale * (first / (1 - 0.9**step))
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - scale[:-1] * SPARSE, 0)
     return Model(features, w[:-1].copy(), float(w[-1]), prior)
 
 
