@@ -120,6 +120,24 @@ def tokenize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenized(spark, sf_dir).select("doc_id", "line_no", F.array_join("toks", " ").alias("line"), F.size("toks").cast("long").alias("n"))
 
 
+@query("SELECT page_id, string_split(url, '/')[3] AS host FROM pages")
+def delimited_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.field(F.col("url"), 2, "/").alias("host"))
+
+
+@query("SELECT doc_id, translate(text, ',.', '') AS text, ltrim(source, 's') AS source FROM documents")
+def drop_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", T.remove_all(F.col("text"), ",.").alias("text"), T.strip_leading(F.col("source"), "s").alias("source"))
+
+
+@query("SELECT doc_id, TRY_CAST(replace(source, 'src', '') AS BIGINT) AS number, TRY_CAST(source AS DOUBLE) AS none, regexp_matches(text, '[0-9]') AS digit FROM documents")
+def parse_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    number = T.parse(F.replace("source", F.lit("src"), F.lit("")), "long")
+    return docs.select("doc_id", number.alias("number"), T.parse(F.col("source"), "double").alias("none"), T.has_digit(F.col("text")).alias("digit"))
+
+
 # --- vocabulary and statistics -----------------------------------------------------------------
 
 
@@ -251,6 +269,12 @@ def dense_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooc.dense_rows(cooc.found_targets(c.cooc, c.vocab))
 
 
+@query(f"WITH {HELLINGER} SELECT target_id, list(ctx_id ORDER BY ctx_id) AS idx, list(round(a, 6) ORDER BY ctx_id) AS val FROM m GROUP BY target_id")
+def csr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = cooc.csr(cooc.hellinger(counted(spark, sf_dir).cooc))
+    return m.select("target_id", "idx", F.transform("val", lambda x: F.round(x, 6)).alias("val"))
+
+
 SIMILAR = f"{HELLINGER}, s AS (SELECT p.target_id AS query_id, q.target_id, sum(p.a * q.a) AS affinity FROM m p JOIN m q ON p.ctx_id = q.ctx_id WHERE p.target_id < {PROBES} GROUP BY p.target_id, q.target_id)"
 
 
@@ -323,6 +347,24 @@ def svd_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.vocab.select("word_id", "word").join(found.withColumnRenamed("target_id", "word_id"), "word_id")
 
 
+@query()
+def svd_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the uncentred principal components."""
+    _, rows, n_cols = sparse_rows(spark, sf_dir)
+    n = rows.count()
+    return svd.principal_components(rows, n, n_cols, min(DIM, n, n_cols))[0]
+
+
+@query()
+def symmetric_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leading eigenvalues, ascending, of the products of columns."""
+    _, rows, n_cols = sparse_rows(spark, sf_dir)
+    products = svd.gram_rows(rows, n_cols)
+    square = products.select(F.col("k").alias("target_id"), F.sequence(F.lit(0), F.size("vec") - 1).alias("idx"), F.col("vec").alias("val"))
+    values, _ = svd.symmetric_eigen(durable(square, "square"), n_cols, min(DIM, n_cols), method="randomized")
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(values)], "k int, value double")
+
+
 @query()
 def svd_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the words of conversations, folded in over the contexts of documents."""
@@ -434,6 +476,24 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.spearman(scored(spark, sf_dir)).withColumn("spearman", F.round("spearman", 6))
 
 
+@query(f"WITH {PAIRS} SELECT dataset, w1, w2, (row_number() OVER (ORDER BY score DESC, w1) - 1)::INTEGER AS place FROM scored")
+def argsort_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.argsort(scored(spark, sf_dir), "score", ascending=False, tie="w1").select("dataset", "w1", "w2", F.col("place").cast("int").alias("place"))
+
+
+#: The same pairs, and for each dataset some with a word that has no vector.
+@query(
+    f"""WITH {PAIRS}, p AS (SELECT dataset, count(*) AS n FROM pair GROUP BY dataset)
+SELECT dataset, 2 * n AS n_pairs, n AS n_found FROM p WHERE dataset IN ('set0', 'set3')"""
+)
+def pair_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scored(spark, sf_dir)
+    known = found.select("dataset", "w1", "w2", "gold")
+    pairs = known.union(known.select("dataset", -F.col("w1") - 1, "w2", "gold"))
+    pairs = evaluate.choose(pairs, "dataset", set0=True, set1=False, set3=True)
+    return evaluate.coverage(pairs, evaluate.pair_scores(named(spark, sf_dir), pairs))
+
+
 #: Questions of four neighbouring ids, in categories by label; some name an id that doesn't exist.
 QUESTIONS = """question AS (SELECT 'label' || label AS category, vec_id AS a, vec_id + 1 AS b, vec_id + 2 AS c, vec_id + 3 AS d FROM embeddings WHERE vec_id % 4 = 0),
 answerable AS (SELECT q.* FROM question q WHERE a IN (SELECT vec_id FROM embeddings) AND b IN (SELECT vec_id FROM embeddings)
@@ -462,6 +522,11 @@ def analogy_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.analogies(named(spark, sf_dir), questions(spark, sf_dir))
 
 
+@query(f"WITH {QUESTIONS} SELECT category, word FROM candidate")
+def analogy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.candidates(evaluate.answerable(named(spark, sf_dir), questions(spark, sf_dir)))
+
+
 @query(f"WITH {QUESTIONS} SELECT category, n_questions, n_answered, round(accuracy, 6) AS accuracy FROM accuracy")
 def analogy_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions(spark, sf_dir)
