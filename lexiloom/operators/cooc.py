@@ -9,6 +9,8 @@ from lexiloom.sources.tables import small
 
 #: Added to a row's sum before its probabilities are taken, a fixed value.
 EPSILON = 0.001
+#: Tokens of a line that are handled together.
+CHUNK = 64
 
 
 def cooccurrence(corpus: DataFrame, targets: DataFrame, contexts: DataFrame, window: int = 5, dynamic: bool = False) -> DataFrame:
@@ -21,9 +23,18 @@ def cooccurrence(corpus: DataFrame, targets: DataFrame, contexts: DataFrame, win
     """
     if window < 1:
         raise ValueError("window must be positive")
-    around = F.transform("toks", lambda w, j: F.struct(w.alias("word"), F.least(j, F.lit(window)).alias("before"), F.slice("toks", F.greatest(j - window, F.lit(0)) + 1, window + 1 + F.least(j, F.lit(window))).alias("ctx")))
-    centres = corpus.select(F.inline(around)).join(small(targets.select("word", "word_id")), "word")
-    pairs = centres.select(F.col("word_id").alias("target_id"), "before", F.posexplode("ctx").alias("at", "word")).where("at <> before")
+    # lines in parts of CHUNK centres with a window of margin, so that what is copied for a token is bounded
+    lead = lambda at: F.least(at, F.lit(window))
+    parts = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("toks") - 1, F.lit(0)), F.lit(CHUNK)),
+        lambda at: F.struct(lead(at).alias("lead"), F.slice("toks", at - lead(at) + 1, lead(at) + CHUNK + window).alias("part")),
+    )
+    tokens = corpus.select(F.inline(parts)).select("lead", "part", F.posexplode("part").alias("j", "word"))
+    tokens = tokens.where((F.col("j") >= F.col("lead")) & (F.col("j") < F.col("lead") + CHUNK))
+    centres = tokens.join(small(targets.select("word", "word_id")), "word")
+    first = F.greatest(F.col("j") - window, F.lit(0))
+    around = F.slice("part", first + 1, F.col("j") - first + window + 1)
+    pairs = centres.select(F.col("word_id").alias("target_id"), (F.col("j") - first).alias("before"), F.posexplode(around).alias("at", "word")).where("at <> before")
     pairs = pairs.join(small(contexts.select("word", "ctx_id")), "word")
     weight = F.sum(F.lit(window + 1) - F.abs(F.col("at") - F.col("before"))) / window if dynamic else F.count("*")
     return pairs.groupBy("target_id", "ctx_id").agg(weight.cast("double").alias("val"))

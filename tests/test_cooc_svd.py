@@ -40,6 +40,12 @@ def test_window(spark, window, dynamic):
     assert all(got[a, b] == pytest.approx(got[b, a]) for a, b in got)
 
 
+@pytest.mark.parametrize("n", [63, 64, 65, 300])
+def test_long_lines(spark, n):
+    text = " ".join(f"w{chr(97 + i * i % 23)}" for i in range(n))
+    assert counted(spark, [text], 5) == brute([text], 5)
+
+
 def test_total_mass(spark):
     n, c = 9, 3
     got = counted(spark, [" ".join(f"w{chr(97 + i)}" for i in range(n))], c)
