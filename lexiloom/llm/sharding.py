@@ -68,9 +68,11 @@ def assign(docs: DataFrame, n: int = SHARDS, id_col: str = "doc_id", text_col: s
     )
 
 
-def write_shards(docs: DataFrame, path: str, n: int = SHARDS, id_col: str = "doc_id") -> None:
-    """The documents themselves, one folder a shard; a shard's rows are written by many tasks."""
-    docs.withColumn("shard", shard_of(F.col(id_col), n)).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, n: int = SHARDS, id_col: str = "doc_id", name: str = "shard") -> None:
+    """The documents themselves, one folder a shard (name=0 and so on); a shard's rows are written by many tasks."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name} already")
+    docs.withColumn(name, shard_of(F.col(id_col), n)).write.partitionBy(name).parquet(path)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

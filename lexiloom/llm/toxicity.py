@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(~in_fold(F.col(id_col)) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("k")).agg(F.max(label_col).alias("y"))
     n, positive = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    prior = min(0.5, max(0.01, (positive + 1) / (n + 2)))
+    prior = min(0.49, max(0.01, (positive + 1) / (n + 2)))  # without any feature, texts count as clean
     order = F.xxhash64("k")
     toxic_ids = known.where("y = 1").select("k").orderBy(order, "k").limit(POSITIVES)
     ids = docs.where(~in_fold(F.col(id_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("k"))
@@ -199,8 +199,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(toxic, other, prior)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with the column score appended (to its own columns, which may have any names but that)."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs with the score appended as a column, whose name mustn't be one of theirs."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name} already")
     names = docs.columns
     at = names.index(text_col)
 
@@ -208,15 +210,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             data, bounds = column_bytes(batch.column(at))
             scores = sigmoid(model.logits(data, bounds))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*names, name])
 
-    schema = type(docs.schema)(list(docs.schema.fields)).add("score", "double")
+    schema = type(docs.schema)(list(docs.schema.fields)).add(name, "double")
     return map_arrow(spread(docs), run, schema)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The columns of docs, without the documents scored at threshold or more."""
-    return score(docs, fit(docs, labels)).where(F.col("score") < threshold).drop("score")
+    own = "_toxicity_score"
+    return score(docs, fit(docs, labels), name=own).where(F.col(own) < threshold).drop(own)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

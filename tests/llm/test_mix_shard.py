@@ -141,7 +141,9 @@ def test_shards(odd, parts):
     assert sharding.assign(odd.limit(0)).collect() == []
 
 
-def test_written_shards(spark, documents, tmp_path):
+def test_written_shards(spark, documents, odd, tmp_path):
+    with pytest.raises(ValueError):
+        sharding.write_shards(odd, str(tmp_path / "x"), 4)
     sharding.write_shards(documents, str(tmp_path / "s"), 4)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == documents.count()

@@ -131,6 +131,14 @@ def test_no_positives_score_the_prior(spark, odd):
     assert toxicity.score(odd.drop("score").limit(0), model).collect() == []
 
 
+def test_clashing_names(spark, odd):
+    labels = spark.createDataFrame([(0, 1), (3, 0)], "doc_id long, toxic int")
+    kept = toxicity.keep_clean(odd, labels)
+    assert kept.columns == odd.columns and kept.count() == odd.count()
+    with pytest.raises(ValueError):
+        toxicity.score(odd, toxicity.fit(odd, labels))
+
+
 def test_held_out_documents(spark):
     rows = [(i, t, int(y)) for i, (t, y) in enumerate(made_texts(1200, 5, 0.15))]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
