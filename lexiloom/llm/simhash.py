@@ -21,7 +21,7 @@ a class; a null doc_id is no candidate for a class's id (a class of null ids has
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -240,24 +240,29 @@ def with_fingerprint(docs: DataFrame, name: str, words: int = 4, text_col: str =
     return map_arrow(docs, run, type(docs.schema)(list(docs.schema.fields)).add(name, "long"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, distance: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of docs, with one row of each class: one with the class's least id.
+def keep_least(docs: DataFrame, found: DataFrame, mark: Callable[[DataFrame], DataFrame], id_col: str = "doc_id") -> DataFrame:
+    """The columns of docs, with one row of each class of found (doc_id, fp, root, component_id); mark adds _own_fp, a row's fp.
 
     Where ids are unique, which is counted, the rows of other ids go. Where some repeat, a row
-    is known by id and fingerprint together, and of the rows of a class's chosen pair one stays.
+    is known by id and fp together, and of the rows of a class's chosen pair one stays.
     """
-    found = durable(classes(docs, words, distance, id_col, text_col), "classes")
     least = F.col("doc_id").eqNullSafe(F.col("component_id"))
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         others = found.where(~least).select("doc_id")
         return docs.join(others, docs[id_col].eqNullSafe(others["doc_id"]), "left_anti")
     first = found.where(least).groupBy("root", "component_id").agg(F.min("fp").alias("_keep_fp"))
     first = first.select(F.col("component_id").alias("_keep_id"), "_keep_fp")
-    marked = with_fingerprint(docs, "_own_fp", words, text_col)
+    marked = mark(docs)
     kept = marked.join(first, marked[id_col].eqNullSafe(first["_keep_id"]) & (marked["_own_fp"] == first["_keep_fp"]), "left_semi")
     return kept.dropDuplicates([id_col, "_own_fp"]).drop("_own_fp")
 
 
+def keep_one(docs: DataFrame, words: int = 5, distance: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of docs, with one row of each class of fingerprints: one with the class's least id."""
+    found = durable(classes(docs, words, distance, id_col, text_col), "classes")
+    return keep_least(docs, found, lambda df: with_fingerprint(df, "_own_fp", words, text_col), id_col)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
