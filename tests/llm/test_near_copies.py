@@ -67,3 +67,17 @@ def test_recall_by_band(spark, sf_dir):
         pairs = [i for i, (x, _) in of.items() if x == band]
         assert all(of[i][1] >= band for i in pairs) and set(pairs) <= kept
         assert sum(i + 1 not in kept for i in pairs) >= 0.96 * len(pairs), band
+
+
+def test_unrelated_short_texts_stay(spark, sf_dir):
+    """Six-word texts whose 64-bit fingerprints are as near to an empty text's, or to each other, as the stage once linked."""
+    from lexiloom.llm import simhash
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 6)) for _ in range(6000)]
+    near = [t for t in texts if simhash.fingerprint(t, 5).bit_count() <= 6]
+    assert len(near) >= 3
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(["", None, *near, near[0].upper()])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()}
+    assert kept == {0, *range(2, 2 + len(near))}
