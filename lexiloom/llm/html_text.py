@@ -4,8 +4,8 @@ Python's streaming parser turns a page into lines: one for each block of text, w
 number of tags met since the line before. A line's ratio is its characters over its tags.
 Ratios are smoothed along the page with a Gaussian kernel, and lines whose smoothed ratio
 exceeds the page's standard deviation form the content cluster. Lines that the page itself
-marks as something else (NOT_CONTENT elements, or NOT_CONTENT_WORDS in class, id or role)
-have no ratio and never count. The region of content is the innermost element that holds
+marks as something else (NOT_CONTENT elements or roles, or NOT_CONTENT_WORDS in class or id
+of an element that doesn't hold most of the text) have no ratio and never count. The region of content is the innermost element that holds
 the clustered lines' text; where a page marks its article (CONTENT elements), the region is
 the marked one with the most ratio. All the region's own lines are kept, short ones too:
 the threshold finds where the article is, not which of its paragraphs to drop.
@@ -73,7 +73,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.content: set[int] = set()
         self.regions: set[int] = set()
-        self.layout: set[int] = set()  # elements marked by LAYOUT_WORDS alone
+        self.named: set[int] = set()  # elements marked by NOT_CONTENT_WORDS
 
     def end_line(self) -> None:
         if self.text:
@@ -130,11 +130,13 @@ class Lines(HTMLParser):
             if name == "role" and value in NOT_CONTENT_ROLES:
                 return True
             if name in ("class", "id"):
-                words = NOT_CONTENT_WORDS.intersection(part for word in value.split() for part in NAME.findall(word))
-                if words - LAYOUT_WORDS:
-                    return True
-                if words:
-                    self.layout.add(self.number)
+                # main never goes by a name, an article only by a whole one: "comment", not "comments-open"
+                names = value.split() if tag in CONTENT else [part for word in value.split() for part in NAME.findall(word)]
+                if tag != "main" and NOT_CONTENT_WORDS.intersection(names):
+                    # within an article, a whole name is no wrapper's: what it marks goes whatever it holds
+                    if tag not in CONTENT and (NOT_CONTENT_WORDS - LAYOUT_WORDS).intersection(value.split()) and any(t in CONTENT for t, _, _ in self.open):
+                        return True
+                    self.named.add(self.number)
         return False
 
     def handle_endtag(self, tag: str) -> None:
@@ -169,10 +171,10 @@ def main_text(html: str | None) -> str:
     lines = page.lines
     if not lines:
         return ""
-    # an element named for a part of the layout isn't content, unless it holds most of the page's text
+    # an element named for something else isn't content, unless it holds most of the page's text
     held: dict[int, int] = {}
     for text, _, around, off in lines:
-        for element in page.layout.intersection(around) if not off else ():
+        for element in page.named.intersection(around) if not off else ():
             held[element] = held.get(element, 0) + len(text)
     most = sum(len(text) for text, _, _, off in lines if not off) / 2
     parts = {element for element, n in held.items() if n <= most}
