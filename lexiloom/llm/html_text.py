@@ -5,9 +5,9 @@ number of tags met since the line before. A line's ratio is its characters over
 Ratios are smoothed along the page with a Gaussian kernel, and lines whose smoothed ratio
 exceeds the page's standard deviation form the content cluster. Lines that the page itself
 marks as something else (NOT_CONTENT elements or roles, or NOT_CONTENT_WORDS in class or id
-of an element that doesn't hold most of the text) have no ratio and never count. The region of content is the innermost element that holds
-the clustered lines' text; where a page marks its article (CONTENT elements), the region is
-the marked one with the most ratio. All the region's own lines are kept, short ones too:
+of an element that doesn't hold most of the text) have no ratio and never count.
+The region of content is the innermost element that holds all clustered lines; where a page
+marks its articles (CONTENT elements), the region is all the marked ones that hold such lines. All the region's own lines are kept, short ones too:
 the threshold finds where the article is, not which of its paragraphs to drop.
 
 Lines are joined in page order by one space; white space in a line becomes one space;
@@ -185,14 +185,11 @@ def main_text(html: str | None) -> str:
     smooth = smoothed(ratios)
     limit = min(DEVIATIONS * float(smooth.std()), SHARE * float(smooth.max())) if len(lines) > 1 else 0.0
     chosen = [i for i in range(len(lines)) if smooth[i] >= limit and not lines[i][3]]
-    weight: dict[int, float] = {}
-    for i in chosen:
-        for element in lines[i][2]:
-            weight[element] = weight.get(element, 0.0) + ratios[i]
-    # the marked article that holds most, or else the innermost element that holds nearly all; of nested ones the inner
-    marked = {e: w for e, w in weight.items() if e in page.content} or {e: w for e, w in weight.items() if e in page.regions}
-    region = max((e for e, w in marked.items() if w >= 0.9 * max(marked.values())), default=None)
-    kept = [text for text, _, around, off in lines if not off and (region is None or region in around)]
+    # all marked articles that hold content, joined, or else the innermost element that holds every line of content
+    inside = [set(lines[i][2]) for i in chosen]
+    marked = page.content.intersection(*[set().union(*inside)])
+    region = marked or {max(page.regions.intersection(*inside), default=-1)}
+    kept = [text for text, _, around, off in lines if not off and (region == {-1} or not region.isdisjoint(around))]
     return " ".join(kept)
 
 
