@@ -1,14 +1,19 @@
-"""Tables by name, durable intermediate results, joins with small sides."""
+"""Tables by name, durable intermediate results, joins with small sides and with skewed keys, global numbering."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Counted rows up to which a narrow table is broadcast.
 BROADCAST_ROWS = 500_000
+#: A key with more than this share of a table's rows is joined apart; there are fewer such keys than 1 / HOT.
+HOT = 1 / 512
+#: Where intermediate results go on a local master that names no shared folder.
+LOCAL_DIR = "/tmp/lexiloom-checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +26,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def parts(spark: SparkSession) -> int:
+    """Partitions for an explicit shuffle: what the session asks of any other shuffle."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share; it goes when the application ends."""
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir; it goes when the application ends.
+
+    Where the session names none, a local master takes LOCAL_DIR; a cluster has no folder to guess, so that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "/tmp/lexiloom-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = LOCAL_DIR
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/lexiloom-{tag}-{uuid.uuid4().hex}"
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -43,3 +58,36 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows allow one; otherwise the planner's choice stands."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def skew_join(rows: DataFrame, found: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with found (one row for each key, with its number of rows n), and without n.
+
+    Keys of more than HOT of the total go by broadcast, fewer than 1 / HOT of them, whatever the data; the
+    rest go by a shuffle, in which no key is large any more. how: inner or left (null keys then stay).
+    """
+    hot = F.broadcast(found.where(F.col("n") > HOT * total).select(F.col(key).alias("_hot")))
+    cold_rows = rows.join(hot, F.col(key) == F.col("_hot"), "left_anti")
+    near = F.broadcast(found.where(F.col("n") > HOT * total).drop("n"))
+    return cold_rows.join(found.where(F.col("n") <= HOT * total).drop("n"), key, how).unionByName(rows.join(near, key))
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """df, written once, with a running number from 0 in the given order and, by name, the sum of a column over all rows before.
+
+    No task holds more than its range of the order: rows are sorted by ranges, numbered within one, and
+    shifted by the totals of the ranges before, of which there is a row each. The order should be total.
+    """
+    sums = sums or {}
+    spark = df.sparkSession
+    at = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    ranged = df.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
+    written = durable(ranged.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "numbered")
+    totals = written.groupBy("_range").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_sum_{k}") for k, c in sums.items()])
+    before = totals.select("_range", F.coalesce(F.sum("_n").over(ahead), zero).alias("_before"), *[F.coalesce(F.sum(f"_sum_{k}").over(ahead), zero).alias(f"_before_{k}") for k in sums])
+    inside = written.withColumns({f"_in_{k}": F.coalesce(F.sum(c).over(at), zero) for k, c in sums.items()}) if sums else written
+    shifted = inside.join(F.broadcast(before), "_range")  # a row for each range
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))  # monotonically_increasing_id keeps the row's place in its partition there
+    return shifted.select(*df.columns, (F.col("_before") + place).alias(name), *[(F.col(f"_before_{k}") + F.col(f"_in_{k}")).alias(k) for k in sums])
