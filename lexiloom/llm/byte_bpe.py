@@ -145,7 +145,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
-    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, schema, 1)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,56 +1,47 @@
-"""What the operators of this folder share: durable tables, Arrow batches, tables by name."""
+"""What the operators of this folder share: Arrow batches cut by bytes; tables and durable results are the library's."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch. Documents may be long, so the default of 10,000 rows could be gigabytes.
-ARROW_ROWS = 256
+from lexiloom.sources.tables import durable, numbered, parts, shared_path, skew_join, spread, table
 
+__all__ = ["by_bytes", "column_bytes", "durable", "map_arrow", "numbered", "parts", "skew_join", "spread", "table", "work_path"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of ours where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/lexiloom-checkpoints"
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+#: Bytes of text that a mapped function gets at once; a longer text comes alone. Batches themselves are bounded by Spark (64 MB).
+TOGETHER = 1 << 20
 
 
 def work_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; it is deleted when the application ends."""
-    path = f"{shared_dir(spark)}/lexiloom-{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return path
+    return shared_path(spark, tag)
 
 
-def durable(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read again: later steps don't depend on any executor."""
-    path = work_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def ends_of(col: pa.Array) -> np.ndarray:
+    """Where the rows of a string or binary column begin, and the last one's end, in its bytes."""
+    wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
+    return np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1]
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow with batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return df.mapInArrow(fn, schema)
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the column's bytes are at most so many in each, or those of one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = ends_of(batch.column(column))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(at, int(at[lo]) + most, side="right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
-def parts(spark: SparkSession) -> int:
-    """Partitions for an explicit shuffle of documents: what the session asks of any other shuffle."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, text: int, most: int = TOGETHER) -> DataFrame:
+    """df.mapInArrow with batches cut by the bytes of the column at place text."""
+    return df.mapInArrow(lambda batches: fn(by_bytes(batches, text, most)), schema)
 
 
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +54,3 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1]
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[at[0] : at[-1]], at - at[0]
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where its files make fewer splits than there are cores; large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import durable
+from lexiloom.llm.common import durable, skew_join
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
-    """(u, m): the least of u and its neighbours v; partial minima are taken before the shuffle."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """(u, m, n): the least of u and its neighbours v, and how many these are; partial minima are taken before the shuffle."""
+    return pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
 
 
 def components(edges: DataFrame, limit: int = 100) -> DataFrame:
@@ -18,24 +18,39 @@ def components(edges: DataFrame, limit: int = 100) -> DataFrame:
 
     Alternating large-star and small-star steps: each step replaces a node's edges by edges to
     the least neighbour, so the edges never become more, and a component ends as a star around
-    its least node. Each round is written to the shared folder. Self-loops and repeated edges
-    are allowed; null ends are dropped; no edges give no rows.
+    its least node. The edges of a hub are split among tasks. Each round is written to the shared
+    folder. Self-loops and repeated edges are allowed; null ends are dropped; no edges give no
+    rows; edges that don't settle in limit rounds are an error.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u <> v").distinct()
     e = durable(e, "edges")
+    n = e.count()
     mark = None
     for _ in range(limit):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_nearest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = skew_join(both.where("v > u"), _nearest(both), "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         nearest = _nearest(down)
-        small = down.join(nearest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = skew_join(down, nearest, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = durable(small.union(nearest.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if mark == (row.n, row.s) or row.n == 0:
             break
-        mark = (row.n, row.s)
+        mark, n = (row.n, row.s), row.n
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")
     leaves = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def with_classes(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (doc_id, fp) with the root and component_id of their node; nodes: (fp, least id, n rows); roots: (node, root).
+
+    Neither a node of many rows nor a class of many nodes meets in one task.
+    """
+    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    named = durable(named, "roots")
+    least = durable(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "least")
+    found = skew_join(named.select("fp", "root", F.col("n").alias("copies")), least, "root", named.count())
+    found = durable(found.select("fp", "root", "component_id", F.col("copies").alias("n")), "classes")
+    return skew_join(rows.select("doc_id", "fp"), found, "fp", rows.count()).select("doc_id", "fp", "root", "component_id")

@@ -202,7 +202,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = spread(pages.select(F.col(id_col).cast("long"), F.col(url_col), F.col(html_col)))
-    return map_arrow(rows, run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(rows, run, "page_id long, url string, text string, n_chars long", 2)
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

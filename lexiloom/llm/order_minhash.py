@@ -7,9 +7,11 @@ signature. Two texts' likeness is the share of equal components.
 
 Defined cases: a null text counts as empty; a text without words has an empty fingerprint,
 and two such are alike (1), one and another text aren't (0); a text with fewer than K words
-is one k-mer; with fewer than TUPLE k-mers all of them are taken; repeated rows stay, and
-follow each other in the order of their texts' hashes; null doc_ids come first; the next
-document of the last is the first, of a single one itself.
+is one k-mer; with fewer than TUPLE k-mers all of them are taken; very long texts are taken
+whole, alone in their batch; repeated rows stay, and equal ids follow each other in the order of
+their texts' hashes; null doc_ids come first; the next document of the last is the first, of a
+single one itself; other columns, whatever their names, are not looked at; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -20,18 +22,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import map_arrow, parts, table
 from lexiloom.llm.words import mix, word_hashes
 
 K, SKETCHES, TUPLE = 5, 64, 2
-#: Bits of a k-mer's place in its text, below its hash in a 64-bit number.
-PLACE = np.uint64(28)
+#: Bits of a k-mer's place in its text, below its hash in a 64-bit number; a text of more k-mers than the first can number takes the second, enough for any string.
+PLACE, WIDE_PLACE = 28, 31
 #: Texts are fingerprinted together up to so many bytes.
 TOGETHER = 1 << 21
 RANGES = 8
+#: Low bits of the order of equal ids, by which copies of one text are told apart.
+COPY_BITS = 20
+LEAST, GREATEST = -(1 << 63), (1 << 63) - 1
 _SEEDS = np.random.default_rng(11).integers(0, 1 << 63, (SKETCHES + K + 4, 2), np.uint64) | np.uint64(1)
 
 
@@ -84,7 +89,8 @@ def _signatures(raw: list[bytes]) -> list[np.ndarray]:
         return out
     heads = begins[some]
     place = (np.arange(len(kmers)) - np.repeat(heads, np.diff(begins)[some])).astype(np.uint64)
-    low, top = (np.uint64(1) << PLACE) - np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
+    bits = PLACE if len(kmers) <= 1 << PLACE else WIDE_PLACE  # such a text is alone here, as it exceeds TOGETHER
+    low, top = np.uint64((1 << bits) - 1), np.uint64(0xFFFFFFFFFFFFFFFF)
     found = np.empty((len(some), SKETCHES), np.uint32)
     for i in range(SKETCHES):
         v = (kmers ^ _SEEDS[i, 0]) * _SEEDS[i, 1]
@@ -122,14 +128,43 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    edges = np.array(bounds, np.int64)
-
-    @F.pandas_udf("int")
-    def of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.where(keys.isna(), 0, np.searchsorted(edges, keys.fillna(0).to_numpy(np.int64), side="right")).astype(np.int32))
-
-    return of(key)
+class Ranges:
+    """Consecutive ranges of (id, order): bounds between ids, and for some ids bounds of the order too. Null is below all ids."""
+
+    def __init__(self, ids: list[int], inner: dict[int | None, list[int]]):
+        for k in inner:  # such an id has ranges of its own
+            ids = [*ids, *([LEAST] if k is None else [k, k + 1] if k < GREATEST else [k])]
+        self.ids = np.array(sorted(set(ids)), np.int64)
+        self.inner = {0 if k is None else int(np.searchsorted(self.ids, k)) + 1: np.unique(np.array(v, np.int64)) for k, v in inner.items()}
+        sizes = np.ones(len(self.ids) + 1, np.int64)
+        for at, v in self.inner.items():
+            sizes[at] += len(v)
+        self.first = np.cumsum(sizes) - sizes
+
+    def __call__(self, keys: pd.Series, order: pd.Series) -> np.ndarray:
+        null = keys.isna().to_numpy()
+        at = np.where(null, 0, np.searchsorted(self.ids, keys.fillna(0).to_numpy(np.int64), side="right"))
+        out = self.first[at]
+        for j, bounds in self.inner.items():
+            mine = (at == j).nonzero()[0]
+            out[mine] += np.searchsorted(bounds, order.to_numpy()[mine], side="right")
+        return out.astype(np.int32)
+
+
+def ranges(rows: DataFrame, n: int) -> Ranges:
+    """About n ranges of like numbers of rows (k, w): by quantiles of the ids, and of the order where one id has more rows than a range."""
+    total = rows.count()
+    if not total or n < 2:
+        return Ranges([], {})
+    steps = [i / n for i in range(1, n)]
+    ids = rows.agg(F.percentile_approx("k", steps, 10_000)).first()[0] or []
+    hot = rows.groupBy("k").count().where(F.col("count") > total / n)  # fewer than n rows
+    inside = rows.join(F.broadcast(hot.select(F.col("k").alias("h"))), F.col("k").eqNullSafe(F.col("h"))).groupBy("k")
+    inner = {}
+    for r in inside.agg(F.count("*").alias("c"), F.percentile_approx("w", steps, 10_000).alias("w")).collect():
+        every = max(1, total // r.c)  # one quantile for each range that the id fills
+        inner[r.k] = r.w[every - 1 :: every]
+    return Ranges(ids, inner)
 
 
 def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,21 +172,28 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Documents are dealt by ranges of ids, several for each task. The first document of a range
     also goes, marked, to the end of the range before it, so each range has all the texts it needs.
+    An id of many rows is cut into ranges by the hash of the text, and copies of one text by the
+    rows' places in the input (which must read the same each time, as files do).
     """
     spark = docs.sparkSession
     chosen = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    ids = chosen.select("k")
-    n = parts(spark) * RANGES
-    cuts = ids.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    bounds = sorted(set(cuts or []))
-    part = _range_of(F.col("k"), bounds)
-    rows = ids.groupBy(part.alias("p")).agg(F.min("k").alias("least"), F.max(F.col("k").isNull()).alias("has_null")).collect()  # one row a range
-    heads = sorted((r.p, None if r.has_null else r.least) for r in rows)
-    before = {heads[i][1]: heads[i - 1][0] for i in range(len(heads))}  # the first id of a range: the range before it, of the first the last
-    to = spark.createDataFrame([(k, p) for k, p in before.items()], "k long, p int")
-    heads_only = chosen.join(F.broadcast(to), chosen["k"].eqNullSafe(to["k"])).select(to["p"], F.lit(1).alias("extra"), chosen["k"], "t")
-    dealt = chosen.select(part.alias("p"), F.lit(0).alias("extra"), "k", "t").union(heads_only)
-    ordered = dealt.repartitionByRange(parts(spark), "p").sortWithinPartitions("p", "extra", "k", F.xxhash64("t"))
+    copy = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << COPY_BITS) - 1).cast("long"))
+    w = F.xxhash64("t").bitwiseAND(F.lit(-1 << COPY_BITS).cast("long")).bitwiseOR(copy)
+    chosen = chosen.select("k", "t", w.alias("w"))
+    ids = chosen.select("k", "w")
+    dealing = ranges(ids, parts(spark) * RANGES)
+
+    @F.pandas_udf("int")
+    def range_of(keys: pd.Series, order: pd.Series) -> pd.Series:
+        return pd.Series(dealing(keys, order))
+
+    part = range_of(F.col("k"), F.col("w"))
+    heads = ids.groupBy(part.alias("p")).agg(F.min(F.struct(F.col("k").isNotNull().alias("some"), "k", "w")).alias("m")).collect()  # one row a range
+    heads = sorted((r.p, r.m.k, r.m.w) for r in heads)
+    to = spark.createDataFrame([(k, w, heads[i - 1][0]) for i, (_, k, w) in enumerate(heads)], "k long, w long, p int")  # the range before, of the first the last
+    heads_only = chosen.join(F.broadcast(to), chosen["k"].eqNullSafe(to["k"]) & (chosen["w"] == to["w"])).select(to["p"], F.lit(1).alias("extra"), chosen["k"], "t", chosen["w"])
+    dealt = chosen.select(part.alias("p"), F.lit(0).alias("extra"), "k", "t", "w").union(heads_only)
+    ordered = dealt.repartitionByRange(parts(spark), "p").sortWithinPartitions("p", "extra", "k", "w").select("p", "extra", "k", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int | None, str]] = []
@@ -179,7 +221,7 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
-    return map_arrow(ordered, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_arrow(ordered, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double", 3)
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

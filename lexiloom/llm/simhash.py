@@ -11,7 +11,9 @@ pair whose distances to a pivot differ by more than d is no link: nodes are orde
 first distance, so that only a window is paired, the other distances discard pairs by the
 maximum coordinate difference, and survivors are verified. A task keeps only links that
 join two parts of its bucket, as their classes are all that is asked for; no link between
-different texts is lost. Buckets above TILE nodes are dealt out as pairs of chunks.
+different texts is lost. A bucket above TILE nodes is cut into buckets again, by agreeing blocks of
+the bits that it doesn't agree on; what is above TILE even then holds nodes that are nearly all
+alike, and is dealt out as pairs of chunks.
 
 Defined cases: a null, empty or blank text has the fingerprint zero and links like any
 other; a text with fewer words than a shingle is one shingle; repeated rows stay and share
@@ -27,11 +29,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import durable, map_arrow, spread, table
-from lexiloom.llm.components import components
+from lexiloom.sources.tables import small
+from lexiloom.llm.components import components, with_classes
 
 SEED, BITS = 42, 64
 #: ASCII capitals to small letters, for UTF-8 bytes.
@@ -39,6 +42,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Mean nodes in a bucket, the most in one that a task takes whole, reference fingerprints, pairs looked at together.
 BUCKET, TILE, PIVOTS, PAIRS = 32, 4096, 16, 1 << 20
+#: Blocks that the buckets of a large bucket agree on, and the columns that name a bucket.
+AGAIN, NAMES = 2, 6
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -74,13 +79,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
             found = np.fromiter((fingerprint(t, words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    return map_arrow(spread(docs.select(F.col(id_col).cast("long"), F.col(text_col))), run, "doc_id long, fp long")
-
-
-def block_bounds(blocks: int) -> list[tuple[int, int]]:
-    """First bit and width of each of so many blocks of a fingerprint."""
-    at = [BITS * i // blocks for i in range(blocks + 1)]
-    return list(zip(at, np.diff(at).tolist(), strict=False))
+    return map_arrow(spread(docs.select(F.col(id_col).cast("long"), F.col(text_col))), run, "doc_id long, fp long", 1)
 
 
 def agreeing(nodes: int, distance: int) -> int:
@@ -91,16 +90,22 @@ def agreeing(nodes: int, distance: int) -> int:
     return k
 
 
-def bucket_keys(distance: int, k: int):
-    """A column of (which, bits) keys of fp: one for each choice of k agreeing blocks among distance + k."""
-    bounds = block_bounds(distance + k)
-    fp = F.col("fp")
-    keys = []
-    for i, chosen in enumerate(combinations(bounds, k)):
-        mask = sum(((1 << w) - 1) << at for at, w in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(i).cast("short").alias("which"), fp.bitwiseAND(F.lit(signed).cast("long")).alias("bits")))
-    return F.array(*keys)
+def masks(distance: int, k: int, bits: list[int] | None = None) -> list[int]:
+    """One mask for each choice of k agreeing blocks among distance + k blocks of the given bits (of all)."""
+    bits = list(range(BITS)) if bits is None else bits
+    blocks = distance + k
+    at = [len(bits) * i // blocks for i in range(blocks + 1)]
+    each = [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(at, at[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(each, k)]
+
+
+def mask_table(found: list[int]) -> Column:
+    return F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in found])
+
+
+def keyed(chosen: Column) -> Column:
+    """(which, bits) of fp for each of the masks."""
+    return F.transform(chosen, lambda m, i: F.struct(i.cast("short").alias("which"), F.col("fp").bitwiseAND(m).alias("bits")))
 
 
 class Parts:
@@ -167,19 +172,29 @@ def bucket_links(bucket: np.ndarray, fps: np.ndarray, side: np.ndarray, distance
 def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints of nodes (fp), enough to connect all that links connect."""
     k = agreeing(nodes.count(), distance)
-    dealt = nodes.select("fp", F.explode(bucket_keys(distance, k)).alias("key")).select("fp", "key.which", "key.bits")
-    sizes = dealt.groupBy("which", "bits").count().where(F.col("count") > TILE)
-    chunks = sizes.select("which", "bits", F.ceil(F.col("count") / (TILE // 2)).cast("int").alias("chunks"))
-    tiled = dealt.join(chunks, ["which", "bits"], "left")
+    first = masks(distance, k)
+    again = [masks(distance, AGAIN, [b for b in range(BITS) if not m >> b & 1]) for m in first]  # of the bits that a bucket doesn't agree on
+    dealt = nodes.select("fp", F.explode(keyed(mask_table(first))).alias("key")).select("fp", "key.which", "key.bits")
+    large = small(dealt.groupBy("which", "bits").count().where(F.col("count") > TILE).drop("count"))
+    plain = dealt.join(large, ["which", "bits"], "left_anti")
+    whole = plain.select("which", "bits", F.lit(-1).cast("short").alias("which2"), F.lit(0).cast("long").alias("bits2"), "fp")
+    whole = whole.withColumns({"x": F.lit(-1), "y": F.lit(-1), "side": F.lit(0).cast("byte")})
+    inner = F.try_element_at(F.array(*[mask_table(m) for m in again]), F.col("which") + 1)
+    cut = dealt.join(large, ["which", "bits"], "left_semi").select("which", "bits", "fp", F.explode(keyed(inner)).alias("key"))
+    cut = cut.select("which", "bits", F.col("key.which").alias("which2"), F.col("key.bits").alias("bits2"), "fp")
+    bucket = ["which", "bits", "which2", "bits2"]
+    sizes = cut.groupBy(*bucket).count().where(F.col("count") > TILE)
+    chunks = small(sizes.select(*bucket, F.ceil(F.col("count") / (TILE // 2)).cast("int").alias("chunks")))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     other = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiled = tiled.select("which", "bits", "fp", own.alias("own"), other.alias("other")).select(
-        "which", "bits", "fp",
+    cut = cut.join(chunks, bucket, "left").select(*bucket, "fp", own.alias("own"), other.alias("other")).select(
+        *bucket, "fp",
         F.coalesce(F.least("own", "other"), F.lit(-1)).alias("x"),
         F.coalesce(F.greatest("own", "other"), F.lit(-1)).alias("y"),
         F.when(F.col("own").isNull() | (F.col("own") == F.col("other")), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"),
     )
-    key = ["which", "bits", "x", "y"]
+    tiled = whole.unionByName(cut)
+    key = [*bucket, "x", "y"]
     table_pivots = np.random.default_rng(SEED).integers(0, 1 << 64, PIVOTS, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +203,9 @@ def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
         def done(rows: list[np.ndarray]) -> pa.RecordBatch:
             same = np.ones(len(rows[0]), bool)
             same[0] = False
-            for c in rows[:4]:
+            for c in rows[:NAMES]:
                 same[1:] &= c[1:] == c[:-1]
-            a, b = bucket_links(np.cumsum(~same), rows[4].view(np.uint64), rows[5], distance, table_pivots)
+            a, b = bucket_links(np.cumsum(~same), rows[NAMES].view(np.uint64), rows[NAMES + 1], distance, table_pivots)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
@@ -201,9 +216,9 @@ def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
                 continue
             rows = [np.concatenate(c) for c in zip(*held, strict=True)]
             cut = len(rows[0])
-            tail = tuple(c[-1] for c in rows[:4])
+            tail = tuple(c[-1] for c in rows[:NAMES])
             differs = np.zeros(cut, bool)  # rows before the last bucket, which may go on in the next batch
-            for c, v in zip(rows[:4], tail, strict=True):
+            for c, v in zip(rows[:NAMES], tail, strict=True):
                 differs |= c != v
             cut = int(differs.nonzero()[0][-1]) + 1 if differs.any() else 0
             if cut:
@@ -213,19 +228,14 @@ def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
             yield done(rows)
 
     sorted_rows = tiled.repartition(*key).sortWithinPartitions(*key).select(*key, "fp", "side")
-    nodes.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return sorted_rows.mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, words: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, root (a fingerprint that names the class), component_id (the least doc_id that links reach) of each row."""
     marked = durable(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), distance))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = durable(named, "roots")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(named.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
+    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    return with_classes(marked, nodes, components(links(nodes.select("fp"), distance)))
 
 
 def with_fingerprint(docs: DataFrame, name: str, words: int = 4, text_col: str = "text") -> DataFrame:
@@ -237,7 +247,7 @@ def with_fingerprint(docs: DataFrame, name: str, words: int = 4, text_col: str =
             found = np.fromiter((fingerprint(t, words) for t in batch.column(at).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*names, name])
 
-    return map_arrow(docs, run, type(docs.schema)(list(docs.schema.fields)).add(name, "long"))
+    return map_arrow(docs, run, type(docs.schema)(list(docs.schema.fields)).add(name, "long"), at)
 
 
 def keep_least(docs: DataFrame, found: DataFrame, mark: Callable[[DataFrame], DataFrame], id_col: str = "doc_id") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.byte_bpe import byte_letters
 from lexiloom.llm.common import column_bytes, map_arrow, parts, table, work_path
-from lexiloom.llm.words import word_hashes
+from lexiloom.llm.words import Words, find_words, lanes_of, places_in
 
 MAGIC = b"LXTB"
 BLOCK = 4096
@@ -34,6 +34,8 @@ BLOCK = 4096
 SEGMENT = 1 << 16
 #: Words remembered by a worker (half as many pieces), and pieces known to be odd.
 CACHE_WORDS, CACHE_PIECES = 1_000_000, 100_000
+#: Longer words, in bytes, are encoded whenever they are met, so that what is remembered is bounded.
+LONGEST = 256
 #: Bytes at which texts are cut into words.
 WORD_ENDS = np.zeros(256, bool)
 WORD_ENDS[[9, 10, 13, 32]] = True
@@ -110,24 +112,26 @@ class Segment:
 
 
 class IdTable:
-    """Runs of ids by 64-bit name, in sorted arrays; it forgets names not met lately."""
+    """Runs of ids by the bytes of a word, found by their hash, in sorted arrays; it forgets words not met lately."""
 
     def __init__(self, size: int):
         self.size, self.round = size, 0
-        self.names, self.begin, self.count, self.last = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
-        self.pool = np.zeros(0, np.uint32)
+        self.names, self.begin, self.count, self.last, self.length, self.lane = (np.zeros(0, t) for t in (np.uint64, *[np.int64] * 5))
+        self.pool, self.lanes = np.zeros(0, np.uint32), np.zeros(0, np.uint64)
 
     def missing(self, names: np.ndarray) -> np.ndarray:
         if not len(self.names):
             return np.ones(len(names), bool)
         return self.names[np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)] != names
 
-    def add(self, names: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        """names ascend and are missing; ids holds their runs one after the other."""
+    def add(self, names: np.ndarray, ids: np.ndarray, count: np.ndarray, lengths: np.ndarray, lanes: np.ndarray) -> None:
+        """names ascend and are missing; ids holds their runs one after the other, lanes their bytes."""
         at = np.searchsorted(self.names, names)
         begin = np.cumsum(count) - count + len(self.pool)
-        self.pool = np.concatenate([self.pool, ids])
+        lane = np.cumsum(lanes_of(lengths)) - lanes_of(lengths) + len(self.lanes)
+        self.pool, self.lanes = np.concatenate([self.pool, ids]), np.concatenate([self.lanes, lanes])
         self.names, self.begin, self.count = np.insert(self.names, at, names), np.insert(self.begin, at, begin), np.insert(self.count, at, count)
+        self.length, self.lane = np.insert(self.length, at, lengths), np.insert(self.lane, at, lane)
         self.last = np.insert(self.last, at, self.round)
 
     def at(self, names: np.ndarray) -> np.ndarray:
@@ -136,20 +140,29 @@ class IdTable:
         self.last[at] = self.round
         return at
 
+    def same(self, at: np.ndarray, lengths: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        """Whether the words at these places have these bytes, not only their hash."""
+        same = self.length[at] == lengths
+        count = lanes_of(lengths)
+        equal = self.lanes[np.minimum(np.repeat(self.lane[at], count) + places_in(count), len(self.lanes) - 1)] == lanes if len(lanes) else np.zeros(0, bool)
+        if not equal.all():
+            same &= np.logical_and.reduceat(equal, np.cumsum(count) - count)
+        return same
+
     def runs(self, at: np.ndarray) -> np.ndarray:
         """The ids at these places, one run after the other."""
         count = self.count[at]
-        ends = np.cumsum(count)
-        return self.pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[at] - (ends - count), count)]
+        return self.pool[np.repeat(self.begin[at], count) + places_in(count)]
 
     def next_round(self) -> None:
         self.round += 1
         if len(self.names) > self.size:
             order = np.argsort(-self.last, kind="stable")[: self.size // 2]
             keep = np.sort(order)
-            pool, count = self.runs(keep), self.count[keep]
-            self.names, self.count, self.last = self.names[keep], count, self.last[keep]
-            self.begin, self.pool = np.cumsum(count) - count, pool
+            pool, count, lanes = self.runs(keep), self.count[keep], lanes_of(self.length[keep])
+            self.lanes = self.lanes[np.repeat(self.lane[keep], lanes) + places_in(lanes)]
+            self.names, self.count, self.last, self.length = self.names[keep], count, self.last[keep], self.length[keep]
+            self.begin, self.pool, self.lane = np.cumsum(count) - count, pool, np.cumsum(lanes) - lanes
 
 
 class WordEncoder:
@@ -159,7 +172,8 @@ class WordEncoder:
     tokenizer's own splitter, so the ids are those of the whole text. A word of letters
     and then ASCII punctuation is two pieces of that splitter; a piece of letters goes
     straight to the library's merge model. Any other word goes through the whole
-    tokenizer. Known words and pieces are found by 64-bit hashes.
+    tokenizer. Known words and pieces are found by 64-bit hashes and compared byte by byte;
+    one that only shares a hash is encoded by itself.
     """
 
     of_process: dict[int, WordEncoder] = {}
@@ -192,14 +206,15 @@ class WordEncoder:
     def _whole(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def _learn_pieces(self, raw: bytes, data: np.ndarray, ends: np.ndarray, separators: np.ndarray, letters: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, start and length of the runs of other bytes than separators, all of them among the pieces."""
-        hashes, starts, lengths = word_hashes(data, ends, separators, lower=letters)
-        names, sample = np.unique(hashes, return_index=True)
+    def _learn_pieces(self, raw: bytes, data: np.ndarray, ends: np.ndarray, separators: np.ndarray, letters: bool) -> tuple[Words, np.ndarray]:
+        """The runs of other bytes than separators, all of them among the pieces, and whether each is there under its own bytes."""
+        w = find_words(data, ends, separators, lower=letters)
+        names, sample = np.unique(w.hashes, return_index=True)
         new = self.pieces.missing(names) & ~np.isin(names, self.odd)
         found: list[list[int]] = []
         odd = []
-        for i, (a, n) in enumerate(zip(starts[sample[new]].tolist(), lengths[sample[new]].tolist(), strict=True)):
+        some = sample[new]
+        for i, (a, n) in enumerate(zip(w.starts[some].tolist(), w.lengths[some].tolist(), strict=True)):
             piece = raw[a : a + n].decode()
             if letters:
                 piece = piece.lower() if piece.isascii() else self.normal(piece)
@@ -214,33 +229,41 @@ class WordEncoder:
         added = names[new]
         self.odd = np.union1d(self.odd, added[~good])[-CACHE_PIECES:]
         count = np.array([len(f) for f in found], np.int64)
-        self.pieces.add(added[good], np.array([x for f in found for x in f], np.uint32), count[good])
-        return hashes, starts, lengths
-
-    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
-        """Encode the words at starts and put them among the known ones; hashes ascend and are missing."""
+        some = some[good]
+        self.pieces.add(added[good], np.array([x for f in found for x in f], np.uint32), count[good], w.lengths[some], _lanes(w, some))
+        known = ~self.pieces.missing(w.hashes)
+        known[known] = self.pieces.same(self.pieces.at(w.hashes[known]), w.lengths[known], _lanes(w, known.nonzero()[0]))
+        return w, known
+
+    def _learn(self, words: Words, some: np.ndarray, data: np.ndarray) -> None:
+        """Encode some of the words and put them among the known ones; their hashes ascend and are missing."""
+        starts, lengths = words.starts[some], words.lengths[some]
         ends = np.cumsum(lengths)
-        data = data[np.arange(int(ends[-1])) + np.repeat(starts - (ends - lengths), lengths)]  # the words, one after the other
+        data = data[np.repeat(starts, lengths) + places_in(lengths)]  # the words, one after the other
         raw, begins = data.tobytes(), ends - lengths
-        simple = np.zeros(len(hashes), bool)
+        simple = np.zeros(len(some), bool)
         heads = tails = np.zeros(0, np.int64)
         if self.direct:
             bounds = np.concatenate([begins, ends[-1:]])
-            core, at, size = self._learn_pieces(raw, data, bounds, NO_LETTER, True)
-            marks, marks_at, _ = self._learn_pieces(raw, data, bounds, NO_MARK, False)
-            i = np.minimum(np.searchsorted(at, begins), len(at) - 1)
-            rest = np.concatenate([[0], np.cumsum(NO_MARK[data])])
-            after = begins + size[i] if len(at) else begins
+            core, core_known = self._learn_pieces(raw, data, bounds, NO_LETTER, True)
+            marks, marks_known = self._learn_pieces(raw, data, bounds, NO_MARK, False)
+            at, size = core.starts, core.lengths
             if len(at):  # letters from the start, then marks to the end
-                simple = (at[i] == begins) & (rest[ends] == rest[np.minimum(after, ends)]) & ~self.pieces.missing(core[i])
-                heads = self.pieces.at(core[i][simple])
-                j = np.searchsorted(marks_at, after)
+                i = np.minimum(np.searchsorted(at, begins), len(at) - 1)
+                rest = np.concatenate([[0], np.cumsum(NO_MARK[data])])
+                after = begins + size[i]
+                simple = (at[i] == begins) & (rest[ends] == rest[np.minimum(after, ends)]) & core_known[i]
                 with_marks = simple & (after < ends)
-                tails = np.full(len(hashes), -1)
-                tails[with_marks] = self.pieces.at(marks[j[with_marks]])
+                j = np.searchsorted(marks.starts, after[with_marks])
+                simple[with_marks] = marks_known[j]
+                with_marks &= simple
+                j = j[marks_known[j]]
+                heads = self.pieces.at(core.hashes[i][simple])
+                tails = np.full(len(some), -1)
+                tails[with_marks] = self.pieces.at(marks.hashes[j])
                 tails = tails[simple]
         ids: list[np.ndarray] = []
-        count = np.zeros(len(hashes), np.int64)
+        count = np.zeros(len(some), np.int64)
         order = np.stack([heads, tails], axis=1).ravel() if len(heads) else np.zeros(0, np.int64)
         order = order[order >= 0]
         joined = self.pieces.runs(order)
@@ -253,21 +276,41 @@ class WordEncoder:
         of_whole = np.repeat(~simple, count)
         out[~of_whole] = joined
         out[of_whole] = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        self.words.add(hashes, out, count)
+        self.words.add(words.hashes[some], out, count, lengths, _lanes(words, some))
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts data[bounds[i]:bounds[i + 1]] together, and each text's number of ids."""
         self.words.next_round()
         self.pieces.next_round()
-        hashes, starts, lengths = word_hashes(data, bounds, WORD_ENDS)
-        names, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+        w = find_words(data, bounds, WORD_ENDS)
+        own = w.lengths > LONGEST  # words encoded by themselves
+        listed = (~own).nonzero()[0]
+        names, sample, which = np.unique(w.hashes[listed], return_index=True, return_inverse=True)
         new = self.words.missing(names)
         if new.any():
-            some = sample[new]
-            self._learn(names[new], data, starts[some], lengths[some])
+            self._learn(w, listed[sample[new]], data)
         at = self.words.at(names)[which]
-        per_word = np.concatenate([[0], np.cumsum(self.words.count[at])])
-        return self.words.runs(at), np.diff(per_word[np.searchsorted(starts, bounds)])
+        same = self.words.same(at, w.lengths[listed], _lanes(w, listed) if own.any() else w.lanes)
+        own[listed[~same]] = True
+        count = np.zeros(len(w.hashes), np.int64)
+        count[listed] = self.words.count[at]
+        ids = self.words.runs(at[same])
+        if own.any():
+            raw = data.tobytes()
+            found = [np.array(self._whole(raw[a : a + n].decode()), np.uint32) for a, n in zip(w.starts[own].tolist(), w.lengths[own].tolist(), strict=True)]
+            count[own] = [len(f) for f in found]
+            of_own = np.repeat(own, count)
+            both = np.empty(len(of_own), np.uint32)
+            both[~of_own], both[of_own] = ids, np.concatenate(found)
+            ids = both
+        per_word = np.concatenate([[0], np.cumsum(count)])
+        return ids, np.diff(per_word[np.searchsorted(w.starts, bounds)])
+
+
+def _lanes(words: Words, some: np.ndarray) -> np.ndarray:
+    """The lanes of some of the words."""
+    count = lanes_of(words.lengths[some])
+    return words.lanes[np.repeat(words.heads[some], count) + places_in(count)]
 
 
 SCHEMA = "part int, seq int, first_doc long, last_doc long, n_docs long, n_ids long, part_start long, payload binary"
@@ -315,7 +358,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     chosen = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
     tie = F.xxhash64("t")
     ordered = chosen.repartitionByRange(parts(spark), F.col("k"), tie).sortWithinPartitions(F.col("k"), tie)
-    map_arrow(ordered, run, SCHEMA).write.parquet(path)
+    map_arrow(ordered, run, SCHEMA, 1).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -341,7 +384,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 kinds = [pa.int64()] * 4 + [pa.int32()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "part", "seq", "doc_no"])
 
-    return map_arrow(files.select("part", "seq", "part_start", "payload"), run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, seq int, doc_no int")
+    return map_arrow(files.select("part", "seq", "part_start", "payload"), run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, seq int, doc_no int", 3)
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:

@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["kind", "features"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).join(F.broadcast(wanted), "k").select("kind", "t")  # at most POSITIVES + UNLABELLED ids
-    sample = sorted((r.kind, bytes(r.features)) for r in map_arrow(chosen, run, "kind int, features binary").collect())  # the bounded sample
+    sample = sorted((r.kind, bytes(r.features)) for r in map_arrow(chosen, run, "kind int, features binary", 1).collect())  # the bounded sample
     toxic = [np.frombuffer(f, np.uint64) for kind, f in sample if kind == 1]
     other = [np.frombuffer(f, np.uint64) for kind, f in sample if kind == 0]
     return train(toxic, other, prior)
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*names, name])
 
     schema = type(docs.schema)(list(docs.schema.fields)).add(name, "double")
-    return map_arrow(spread(docs), run, schema)
+    return map_arrow(spread(docs), run, schema, at)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import zlib
 
@@ -53,14 +54,51 @@ def test_word_encoder_equals_the_library(encoder, texts):
     assert encode(encoder, texts) == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def far_apart():
+    """Long words that differ in bytes at places 256 apart, unspaced text, base64, and a very long text."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for n in (255, 256, 257, 300, 1000, 5000):
+        word = bytearray(rng.choice(list(b"abcdefgh"), n).tolist())
+        other = bytearray(word)
+        other[0] += 3
+        other[min(256, n - 1)] -= 1
+        texts += [word.decode(), other.decode(), f"{word.decode()}, {other.decode()}!"]
+    texts += ["b" * 300, "e" + "b" * 255 + "a" + "b" * 43, "日本語テキスト" * 60 + "。" + "漢字" * 200]
+    texts.append(base64.b64encode(rng.bytes(30_000)).decode())
+    texts.append(" ".join(f"w{x}" for x in rng.integers(0, 40_000, 300_000)))
+    return texts
+
+
+def test_long_words(encoder):
+    texts = far_apart()
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode(encoder, texts) == want and encode(encoder, texts[::-1]) == want[::-1]
+
+
+def test_hashes_may_collide(monkeypatch):
+    """With hashes of four bits most words share one; the ids stay those of the library."""
+    plain = token_files.find_words
+
+    def poor(*a, **k):
+        w = plain(*a, **k)
+        return w._replace(hashes=w.hashes & np.uint64(15))
+
+    monkeypatch.setattr(token_files, "find_words", poor)
+    own = token_files.WordEncoder(open(WORD_BPE, encoding="utf-8").read())
+    texts = ["one two three, four. five! Six six seven (eight) nine-ten", "eleven two été Über twelve... x1", "one " * 50] * 3
+    assert encode(own, texts) == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_forgetting_changes_nothing(encoder):
     table = token_files.IdTable(10)
     for lo in range(0, 100, 5):
         table.next_round()
         names = np.arange(lo, lo + 5, dtype=np.uint64)
         new = table.missing(names)
-        table.add(names[new], np.repeat(names[new], 2).astype(np.uint32), np.full(int(new.sum()), 2))
+        table.add(names[new], np.repeat(names[new], 2).astype(np.uint32), np.full(int(new.sum()), 2), np.full(int(new.sum()), 4), names[new])
         assert table.runs(table.at(names)).tolist() == np.repeat(names, 2).tolist()
+        assert table.same(table.at(names), np.full(5, 4), names).all() and not table.same(table.at(names), np.full(5, 4), names + np.uint64(1)).any()
     assert len(table.names) <= 15
 
 
