@@ -60,16 +60,19 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def skew_join(rows: DataFrame, found: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
-    """rows joined with found (one row for each key, with its number of rows n), and without n.
+def skew_join(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame:
+    """The inner join of rows with found (one row for each value of key, a long, with n, its number of rows), without n.
 
-    Keys of more than HOT of the total go by broadcast, fewer than 1 / HOT of them, whatever the data; the
-    rest go by a shuffle, in which no key is large any more. how: inner or left (null keys then stay).
+    Values of more than HOT of the total are looked up in a broadcast table, which has fewer than 1 / HOT rows
+    whatever the data; their rows then go through the shuffle under scattered keys.
     """
-    hot = F.broadcast(found.where(F.col("n") > HOT * total).select(F.col(key).alias("_hot")))
-    cold_rows = rows.join(hot, F.col(key) == F.col("_hot"), "left_anti")
-    near = F.broadcast(found.where(F.col("n") > HOT * total).drop("n"))
-    return cold_rows.join(found.where(F.col("n") <= HOT * total).drop("n"), key, how).unionByName(rows.join(near, key))
+    names = [c for c in found.columns if c not in (key, "n")]
+    hot = F.broadcast(found.where(F.col("n") > HOT * total).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in names]))
+    looked = rows.join(hot, F.col(key) == F.col("_hot"), "left")
+    scattered = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+    cold = found.select(F.col(key).alias("_cold"), *[F.col(c).alias(f"_cold_{c}") for c in names])
+    both = looked.withColumn("_key", scattered).join(cold, F.col("_key") == F.col("_cold"), "left").where("_hot is not null or _cold is not null")
+    return both.select(*rows.columns, *[F.when(F.col("_hot").isNotNull(), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in names])
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str, sums: dict[str, str] | None = None) -> DataFrame:
