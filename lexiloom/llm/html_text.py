@@ -1,25 +1,34 @@
 """Main text of web pages: text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
-Python's streaming parser turns a page into lines: one for each block of text, with the
-number of tags met since the line before. A line's ratio is its characters over its tags.
-Ratios are smoothed along the page with a Gaussian kernel, and lines whose smoothed ratio
-exceeds the page's standard deviation form the content cluster. Lines that the page itself
-marks as something else (NOT_CONTENT elements or roles, or NOT_CONTENT_WORDS in class or id
-of an element that doesn't hold most of the text) have no ratio and never count.
-The region of content is the innermost element that holds all clustered lines; where a page
-marks its articles (CONTENT elements), the region is all the marked ones that hold such lines. All the region's own lines are kept, short ones too:
-the threshold finds where the article is, not which of its paragraphs to drop.
-
-Lines are joined in page order by one space; white space in a line becomes one space;
-character references are decoded.
-
-Defined cases: null or empty html, or a page without text, gives an empty text; unclosed
-and wrongly nested tags close with their parent; repeated rows are separate rows.
+Python's streaming parser turns a page into lines: one for each block of text, with the number
+of tags met since the line before. A line's ratio is its characters over its tags. Ratios are
+smoothed along the page with a Gaussian kernel. Lines whose smoothed ratio reaches the threshold
+form the content clusters: the standard deviation of the smoothed ratios, or PART of what the
+median character of the page has, if that is less. Lines whose own ratio reaches it too are
+strong; they say where the article is:
+
+* What a page marks as something else (NOT_CONTENT elements, roles, names in class or id) has the
+  ratio 0 and never counts.
+* Marked articles (CONTENT elements) that hold a line of a cluster are the article, whole.
+* Elsewhere, lines that are nothing but links, several in a row or in one line, are menus. They and
+  page furniture (navigation, headers, footers) cut the page into segments. The heaviest segment, by
+  characters of strong lines, holds the article; its region is the innermost element around its
+  strong lines. A segment belongs to it that has strong lines in the same region, or, where the
+  region is the whole page, SHARE of the heaviest's weight. From the first strong line to the last
+  all lines stay, short ones too; outwards, lines of the same region and paragraphs and headings
+  next to it up to the next menu.
+
+Lines are joined in page order by one space; white space in a line becomes one space; character
+references are decoded. Time is linear in the page's length.
+
+Defined cases: null or empty html, or a page without text or without a strong line, gives an empty
+text; unclosed and wrongly nested tags close with their parent; very long pages and very deep ones
+are taken whole; ties of segments go to the first; repeated rows are separate rows, null ids and
+urls stay null; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -33,8 +42,12 @@ from lexiloom.llm.common import map_arrow, spread, table
 
 #: Smoothing radius in lines; the kernel's standard deviation is as large.
 RADIUS = 2
-#: The content cluster is what exceeds so many standard deviations of the smoothed ratios, or the share SHARE of the greatest.
-DEVIATIONS, SHARE = 1.0, 0.1
+#: The threshold in standard deviations of the smoothed ratios, and as a part of the median character's.
+DEVIATIONS, PART = 1.0, 1 / 3
+#: The part of the heaviest segment's weight that another one needs where the region is the whole page.
+SHARE = 0.1
+#: The part of a line's letters that are links in a menu, and of a page's text that only a wrapper holds.
+LINKED, WRAPPER = 0.8, 0.9
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,121 +55,203 @@ BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-CLOSED_BY_BLOCK = frozenset("p".split())
 CLOSES_SAME = frozenset("li dd dt option tr td th thead tbody tfoot".split())
 NO_TEXT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist".split())
 CONTENT = frozenset("article main".split())
-NOT_CONTENT = frozenset("nav header footer aside form menu dialog".split()) | NO_TEXT
-NOT_CONTENT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header "
-    "masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo related reply replies share sharing sidebar "
-    "signup social sponsor sponsored subscribe subscription toc toolbar widget".split()
-)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold text of their own, wherever they stand.
+PROSE = HEADINGS | frozenset("p blockquote pre li dd dt td th figcaption".split())
+FURNITURE = frozenset("nav header footer menu".split())
+NOT_CONTENT = frozenset("aside dialog".split()) | FURNITURE | NO_TEXT
 NOT_CONTENT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
-#: Of these, the words that layouts also give to a wrapper of the whole page, as in "with-sidebar".
-LAYOUT_WORDS = frozenset("banner footer header masthead menu modal nav navbar navigation notice overlay popup sidebar toc toolbar widget".split())
+#: Names in class or id: of parts that are no article, and of parts that layouts also give to a wrapper of the whole page.
+PARTS = frozenset(
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies consent disqus gdpr newsletter "
+    "notice notices pagination promo related reply replies respond share sharing signup social sponsor sponsored subscribe subscription".split()
+)
+LAYOUT = frozenset("banner footer header masthead menu modal nav navbar navigation overlay popup sidebar toc toolbar widget widgets".split())
+#: Words that go with these in one name, as in "comment-list" or "site-footer".
+BESIDE = frozenset(
+    "area article articles bar block box button buttons bottom col column container entry form group inline inner item items left link links list main outer "
+    "page panel post posts primary right row secondary section site slot stories story text thread title top unit wrap wrapper".split()
+)
 #: Elements that can be the region of content.
-REGIONS = frozenset("article body center div html main section table tbody td tr".split())
+REGIONS = frozenset("article center div main section table tbody td tr".split())
 SPACE = re.compile(r"\s+")
-NAME = re.compile(r"[A-Za-z]+|[^A-Za-z]+")
+NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9_\-\s]+")
+NO_LETTER = re.compile(r"[\W_]+")
 
 
-class Lines(HTMLParser):
-    """Events to lines: (text, tags before and in it, the open elements around it, whether the page marks it as no content)."""
+def named(value: str, whole: bool) -> frozenset[str]:
+    """The PARTS and LAYOUT words that the names of a class or id consist of; whole asks for names of one word."""
+    found = set()
+    for name in value.split():
+        words = [name.lower()] if whole else [w.lower() for w in NAME.findall(name)]
+        own = [w for w in words if w in PARTS or w in LAYOUT]
+        if own and all(w in own or w in BESIDE or w.isdigit() for w in words):
+            found.update(own)
+    return frozenset(found)
+
+
+class Page(HTMLParser):
+    """Events to lines, as parallel lists, and the elements that matter, with the lines from first to before last."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number of the element, no content from here on
-        self.number = 0
-        self.tags = 0
+        self.open: list[tuple[str, bool, int]] = []  # tag, no content from here on, number of the element or -1
+        self.places: dict[str, list[int]] = {}  # of each tag, the open ones
+        self.blocks: list[int] = []  # the open blocks
+        self.tags = self.anchors = self.chars = self.titles = 0
         self.text: list[str] = []
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.content: set[int] = set()
-        self.regions: set[int] = set()
-        self.named: set[int] = set()  # elements marked by NOT_CONTENT_WORDS
+        self.link: list[str] = []
+        self.hidden = self.edge = False
+        # lines: text (of an off line none), tags, no content, a border of segments, all links, number of links, innermost block
+        self.lines: list[str] = []
+        self.tag_counts: list[int] = []
+        self.off: list[bool] = []
+        self.border: list[bool] = []
+        self.linked: list[bool] = []
+        self.link_counts: list[int] = []
+        self.block: list[str] = []
+        # elements: kind (content, region, or the words that name it), first and last line, characters and titles before and in it
+        self.kinds: list[str | frozenset[str]] = []
+        self.first: list[int] = []
+        self.last: list[int] = []
+        self.held: list[int] = []
+        self.titled: list[int] = []
 
     def end_line(self) -> None:
-        if self.text:
-            line = SPACE.sub(" ", "".join(self.text)).strip()
-            self.text = []
-            if line:
-                off = bool(self.open) and self.open[-1][2]
-                self.lines.append((line, self.tags, tuple(n for _, n, _ in self.open), off))
-                self.tags = 0
+        if not self.text and not self.hidden:
+            return
+        line = SPACE.sub(" ", "".join(self.text)).strip()
+        if line or self.hidden:
+            self.lines.append(line)
+            self.tag_counts.append(self.tags)
+            self.off.append(not line)
+            self.border.append(not line and self.edge)
+            self.block.append(self.open[self.blocks[-1]][0] if self.blocks else "")
+            letters = len(NO_LETTER.sub("", "".join(self.link))) if self.link else 0
+            self.linked.append(letters > 0 and self.block[-1] not in HEADINGS and letters >= LINKED * len(NO_LETTER.sub("", line)))
+            self.link_counts.append(self.anchors)
+            self.chars += len(line)
+            self.tags = 0
+        self.text, self.link, self.hidden, self.anchors, self.edge = [], [], False, 0, False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.end_line()
         self.tags += 1
+        if tag == "a":
+            self.anchors += 1
         if tag in VOID:
             return
-        if tag in BLOCKS and tag != "br":
-            self.close_implied(tag)
-        self.number += 1
-        off = (bool(self.open) and self.open[-1][2]) or self.not_content(tag, attrs)
+        if tag in BLOCKS and self.blocks:  # an open paragraph, or the item of the same kind, ends by itself
+            other = self.open[self.blocks[-1]][0]
+            if other == "p" or (other == tag and tag in CLOSES_SAME):
+                self.close_from(self.blocks[-1])
+        off = bool(self.open) and self.open[-1][1]
+        number = -1
         if not off:
-            if tag in CONTENT:
-                self.content.add(self.number)
-            if tag in REGIONS:
-                self.regions.add(self.number)
-        self.open.append((tag, self.number, off))
+            off, words = self.marked(tag, attrs)
+            kind = words or ("content" if tag in CONTENT else "region" if tag in REGIONS else "")
+            if tag == "h1" and not off:
+                self.titles += 1
+            if kind and not off:
+                number = len(self.kinds)
+                self.kinds.append(kind)
+                self.first.append(len(self.lines))
+                self.last.append(-1)
+                self.held.append(self.chars)
+                self.titled.append(self.titles - (tag in CONTENT))  # an article counts as a title
+                if words and tag in CONTENT:
+                    self.titled[-1] += 1
+        if off and tag in FURNITURE:
+            self.edge = True
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, off, number))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag in NO_TEXT:
             self.handle_endtag(tag)
 
-    def close_implied(self, tag: str) -> None:
-        """What an opening block ends by itself: an open paragraph, or the item of the same kind."""
-        for i in range(len(self.open) - 1, -1, -1):
-            other = self.open[i][0]
-            if other in CLOSED_BY_BLOCK or (tag in CLOSES_SAME and other == tag):
-                del self.open[i:]
-                return
-            if other in BLOCKS:
-                return
-
-    def not_content(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def close_from(self, place: int) -> None:
+        """Close the open elements from this place on."""
+        while len(self.open) > place:
+            tag, _, number = self.open.pop()
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            if number >= 0:
+                self.last[number] = len(self.lines)
+                self.held[number] = self.chars - self.held[number]
+                self.titled[number] = self.titles - self.titled[number]
+
+    def inside(self, *tags: str) -> bool:
+        return any(self.places.get(t) for t in tags)
+
+    def marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, frozenset[str]]:
+        """Whether the page marks an element as no content, and else the words that name it so, to be judged by what it holds."""
+        none: frozenset[str] = frozenset()
         if tag in ("html", "body"):
-            return False
-        if tag in NOT_CONTENT:
-            return not (tag == "header" and any(t in CONTENT for t, _, _ in self.open))
+            return False, none
+        if tag in NOT_CONTENT and not (tag == "header" and self.inside(*CONTENT)):
+            return True, none
+        words = frozenset(["menu"]) if tag == "form" else none
         for name, value in attrs:
-            value = (value or "").lower()
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-            if name == "style" and "display:none" in value.replace(" ", ""):
-                return True
-            if name == "role" and value in NOT_CONTENT_ROLES:
-                return True
-            if name in ("class", "id"):
-                # main never goes by a name, an article only by a whole one: "comment", not "comments-open"
-                names = value.split() if tag in CONTENT else [part for word in value.split() for part in NAME.findall(word)]
-                if tag != "main" and NOT_CONTENT_WORDS.intersection(names):
-                    # within an article, a whole name is no wrapper's: what it marks goes whatever it holds
-                    if tag not in CONTENT and (NOT_CONTENT_WORDS - LAYOUT_WORDS).intersection(value.split()) and any(t in CONTENT for t, _, _ in self.open):
-                        return True
-                    self.named.add(self.number)
-        return False
+            value = value or ""
+            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+                return True, none
+            if name == "style" and "display:none" in value.lower().replace(" ", ""):
+                return True, none
+            if name == "role" and value.lower() in NOT_CONTENT_ROLES:
+                return True, none
+            if name in ("class", "id") and tag != "main" and tag not in HEADINGS and not self.inside("pre", "code"):
+                words |= named(value, tag in CONTENT)
+        if words and self.inside(*CONTENT):
+            words -= {"header"}  # an article's own
+        if words and tag not in BLOCKS:  # an inline element is no wrapper
+            return True, none
+        return False, words
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.end_line()
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if self.open[i][0] in BLOCKS and tag not in BLOCKS:
-                return  # a stray inline end tag doesn't close blocks
+        places = self.places.get(tag)
+        # a stray inline end tag doesn't close blocks
+        if places and not (tag not in BLOCKS and self.blocks and self.blocks[-1] > places[-1]):
+            self.close_from(places[-1])
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][0] in NO_TEXT):
-            self.text.append(data)
+        if self.open and self.open[-1][1]:
+            if not data.isspace() and self.open[-1][0] not in NO_TEXT:
+                self.hidden = True
+                self.edge = self.edge or self.inside(*FURNITURE)
+            return
+        self.text.append(data)
+        if self.places.get("a"):
+            self.link.append(data)
 
     def done(self) -> None:
         self.close()
         self.end_line()
+        self.close_from(0)
+        # elements that are named for something else go, unless they wrap the page; outer ones come first
+        reach = 0
+        for kind, first, last, held, titled in zip(self.kinds, self.first, self.last, self.held, self.titled, strict=True):
+            if isinstance(kind, frozenset) and first < last:
+                wrapper = titled > 0 and 2 * held > self.chars
+                if kind <= LAYOUT:
+                    wrapper = wrapper or held > WRAPPER * self.chars or (titled > 0 and "header" in kind)
+                if not wrapper:
+                    for i in range(max(first, reach), last):
+                        if not self.off[i]:
+                            self.off[i] = True
+                            self.border[i] = not kind <= PARTS
+                    reach = max(reach, last)
 
 
 def smoothed(ratios: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -164,33 +259,73 @@ def smoothed(ratios: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return np.convolve(ratios, kernel / kernel.sum(), mode="full")[radius : radius + len(ratios)]
 
 
+def threshold(smooth: np.ndarray, chars: np.ndarray) -> float:
+    """What a smoothed ratio must reach; chars: each line's characters, 0 of a line that doesn't count."""
+    order = np.argsort(smooth, kind="stable")
+    median = smooth[order][np.searchsorted(np.cumsum(chars[order]), chars.sum() / 2)]
+    return min(DEVIATIONS * float(smooth.std()), PART * float(median))
+
+
+def covered(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of n lines is in one of the intervals."""
+    change = np.bincount(first, minlength=n + 1)[: n + 1] - np.bincount(last, minlength=n + 1)[: n + 1]
+    return np.cumsum(change)[:n] > 0
+
+
+def chosen_lines(page: Page) -> np.ndarray:
+    """Whether each line belongs to the article."""
+    n = len(page.lines)
+    off = np.array(page.off, bool)
+    chars = np.where(off, 0, np.array([len(t) for t in page.lines]))
+    none = np.zeros(n, bool)
+    if not chars.any():
+        return none
+    ratios = chars / np.maximum(np.array(page.tag_counts), 1)
+    smooth = smoothed(ratios)
+    limit = threshold(smooth, chars)
+    linked = np.array(page.linked, bool) & ~off
+    row = np.pad(linked, 1)
+    menu = linked & ((np.array(page.link_counts) > 1) | row[:-2] | row[2:])
+    core = ~off & ~menu & (smooth >= limit) & (smooth > 0)
+    strong = core & (ratios >= limit)
+    if not strong.any():
+        return none
+    upto = np.concatenate([[0], np.cumsum(core)])
+    of = {kind: np.array([(f, l) for k, f, l in zip(page.kinds, page.first, page.last, strict=True) if k == kind and l > f], np.int64).reshape(-1, 2) for kind in ("content", "region")}
+    marked = of["content"]
+    marked = marked[upto[marked[:, 1]] > upto[marked[:, 0]]]
+    if len(marked):
+        return covered(marked[:, 0], marked[:, 1], n) & ~off
+
+    # segments between menus and furniture, weighed by the characters of their strong lines
+    segment = np.cumsum(menu | np.array(page.border, bool))
+    weight = np.bincount(segment, np.where(strong & ~menu, chars, 0))
+    heaviest = int(weight.argmax())
+    own = (strong & (segment == heaviest)).nonzero()[0]
+    around = of["region"][(of["region"][:, 0] <= own[0]) & (of["region"][:, 1] > own[-1])]
+    a, b = around[np.argmin(around[:, 1] - around[:, 0])] if len(around) else (0, n)
+    inside = np.zeros(n, bool)
+    if len(around):
+        inside[a:b] = True
+        mine = (strong & inside).nonzero()[0]
+    else:
+        mine = (strong & (weight >= SHARE * weight[heaviest])[segment]).nonzero()[0]
+    lo, hi = int(mine[0]), int(mine[-1])
+    stays = inside | np.array([t in PROSE for t in page.block], bool)
+    ends = menu | np.array(page.border, bool) | (~off & ~stays)
+    before, after = ends[:lo].nonzero()[0], ends[hi + 1 :].nonzero()[0]
+    lo = int(before[-1]) + 1 if len(before) else 0
+    hi = hi + int(after[0]) if len(after) else n - 1
+    out = none
+    out[lo : hi + 1] = True
+    return out & ~off
+
+
 def main_text(html: str | None) -> str:
-    page = Lines()
+    page = Page()
     page.feed(html or "")
     page.done()
-    lines = page.lines
-    if not lines:
-        return ""
-    # an element named for something else isn't content, unless it holds most of the page's text
-    held: dict[int, int] = {}
-    for text, _, around, off in lines:
-        for element in page.named.intersection(around) if not off else ():
-            held[element] = held.get(element, 0) + len(text)
-    most = sum(len(text) for text, _, _, off in lines if not off) / 2
-    parts = {element for element, n in held.items() if n <= most}
-    lines = [(text, tags, around, off or not parts.isdisjoint(around)) for text, tags, around, off in lines]
-    ratios = np.array([0.0 if off else len(text) / max(tags, 1) for text, tags, _, off in lines])
-    if not ratios.any():
-        return ""
-    smooth = smoothed(ratios)
-    limit = min(DEVIATIONS * float(smooth.std()), SHARE * float(smooth.max())) if len(lines) > 1 else 0.0
-    chosen = [i for i in range(len(lines)) if smooth[i] >= limit and not lines[i][3]]
-    # all marked articles that hold content, joined, or else the innermost element that holds every line of content
-    inside = [set(lines[i][2]) for i in chosen]
-    marked = page.content.intersection(*[set().union(*inside)])
-    region = marked or {max(page.regions.intersection(*inside), default=-1)}
-    kept = [text for text, _, around, off in lines if not off and (region == {-1} or not region.isdisjoint(around))]
-    return " ".join(kept)
+    return " ".join(page.lines[i] for i in chosen_lines(page).nonzero()[0].tolist())
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
