@@ -33,7 +33,7 @@ BLOCK = 4096
 #: A segment is closed after the document with which it reaches this many ids.
 SEGMENT = 1 << 16
 #: Words remembered by a worker (half as many pieces), and pieces known to be odd.
-CACHE_WORDS, CACHE_PIECES = 1_000_000, 100_000
+CACHE_WORDS, CACHE_PIECES = 600_000, 100_000
 #: Longer words, in bytes, are encoded whenever they are met, so that what is remembered is bounded.
 LONGEST = 256
 #: Bytes at which texts are cut into words.
@@ -116,7 +116,7 @@ class IdTable:
 
     def __init__(self, size: int):
         self.size, self.round = size, 0
-        self.names, self.begin, self.count, self.last, self.length, self.lane = (np.zeros(0, t) for t in (np.uint64, *[np.int64] * 5))
+        self.names, self.begin, self.count, self.last, self.length, self.lane = (np.zeros(0, t) for t in (np.uint64, *[np.int32] * 5))
         self.pool, self.lanes = np.zeros(0, np.uint32), np.zeros(0, np.uint64)
 
     def missing(self, names: np.ndarray) -> np.ndarray:
@@ -162,7 +162,8 @@ class IdTable:
             pool, count, lanes = self.runs(keep), self.count[keep], lanes_of(self.length[keep])
             self.lanes = self.lanes[np.repeat(self.lane[keep], lanes) + places_in(lanes)]
             self.names, self.count, self.last, self.length = self.names[keep], count, self.last[keep], self.length[keep]
-            self.begin, self.pool, self.lane = np.cumsum(count) - count, pool, np.cumsum(lanes) - lanes
+            self.begin, self.lane = ((np.cumsum(c) - c).astype(np.int32) for c in (count, lanes))
+            self.pool = pool
 
 
 class WordEncoder:
