@@ -195,7 +195,77 @@ def test_many_equal_vectors(spark, monkeypatch):
 
 
 def test_probes_come_in_order_of_cost():
-    inside = np.array([0.2, 1.9, 1.0])
-    steps = multiprobe.probe_order(inside, 20)
-    walls = [sum(inside[i] ** 2 if s < 0 else (multiprobe.WIDTH - inside[i]) ** 2 if s else 0 for i, s in enumerate(step)) for step in steps]
-    assert walls == sorted(walls) and len({tuple(s) for s in steps}) == len(steps) and not steps[0].any()
+    k = 3
+    sets = multiprobe.probe_sets(k, 20)
+    assert sets[0] == () and len(set(sets)) == len(sets) == 20
+    cost = [(j + 1) * (j + 2) / (4 * (k + 1) * (k + 2)) for j in range(k)] + [1 - (2 * k - j) / (k + 1) + (2 * k - j) * (2 * k - j + 1) / (4 * (k + 1) * (k + 2)) for j in range(k, 2 * k)]
+    costs = [sum(cost[j] for j in c) for c in sets]
+    assert costs == pytest.approx(sorted(costs)) and cost == sorted(cost)
+    inside = np.array([[0.2, 1.9, 1.0]])
+    steps = multiprobe.steps_of(sets, inside)[0]
+    assert not steps[0].any() and steps[1].tolist() == [-1, 0, 0] and steps[2].tolist() == [0, 0, -1]
+    assert len({tuple(s) for s in steps.tolist()}) == len(steps)
+    assert len(multiprobe.probe_sets(2, 100)) == 9  # all of them
+
+
+def test_first_probe_is_the_one_that_meets():
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=12)
+    near = [v + rng.normal(size=12) * 0.2 for _ in range(60)]
+    sets, hashes = multiprobe.probe_sets(8, 200), 8
+    plan = multiprobe.Plan(hashes, 200, 1, "<f8")
+    got = multiprobe.first_probes([(v, w) for w in near], hashes, sets)
+    visited = [multiprobe.probed(multiprobe.unit_rows(v[None]), t, plan, sets)[0].tolist() for t in range(multiprobe.TABLES)]
+    for w, g in zip(near, got.tolist(), strict=True):
+        own = [int(multiprobe.cell_name(multiprobe.cells_of(multiprobe.unit_rows(w[None]), t, hashes)[0], 12, t)[0]) for t in range(multiprobe.TABLES)]
+        assert g == min([c.index(o) for c, o in zip(visited, own, strict=True) if o in c], default=200)
+    assert got.min() < 200
+
+
+def test_ties_beyond_any_cut(spark, monkeypatch):
+    """All of these are multiples of one vector, so every cosine is 1: the smallest ids are due."""
+    monkeypatch.setattr(multiprobe, "HELD", 500)
+    rows = [(i, [x * 2.0 ** (i % 60 - 30) for x in (1.0, 2.0, 3.0, 4.0 + i // 60 * 1e-3)]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(multiprobe.nearest(df).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got[0] == [1, 2, 3, 4, 5] and got[50] == [0, 1, 2, 3, 4] and got[100] == [60, 61, 62, 63, 64] and len(got) == 24
+
+
+def clustered_vectors(n, dim=24, centres=60, seed=2, share=0.33):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centres, dim))
+    hot = rng.random(n) < share  # so many around one centre
+    return c[np.where(hot, 0, rng.integers(0, centres, n))] + 0.15 * rng.normal(size=(n, dim))
+
+
+def test_large_cells_are_split(spark, monkeypatch):
+    monkeypatch.setattr(multiprobe, "TILE_ROWS", 50)
+    monkeypatch.setattr(multiprobe, "TILE_QUERIES", 5)
+    x = clustered_vectors(1500)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    plans = []
+    fitted = multiprobe.fitted
+    monkeypatch.setattr(multiprobe, "fitted", lambda *a: plans.append(fitted(*a)) or plans[-1])
+    got = {}
+    for r in multiprobe.nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = plain_nearest(df.collect())
+    assert max(p[0] for p in plans[0].large.values()) > 1 and max(p[1] for p in plans[0].large.values()) > 1
+    assert sum(len(got[q] & {i for i, _ in w}) for q, w in want.items()) >= 0.9 * 5 * len(want)
+
+
+def test_most_pairs_of_clustered_vectors_are_not_compared():
+    x = clustered_vectors(4000, share=0)
+    unit, hashes = multiprobe.unit_rows(x), 12
+    near = [(i, int(j)) for i in range(0, 4000, 50) for j in np.argsort(-(unit @ unit[i]))[1:6]]
+    sets = multiprobe.probe_sets(hashes, multiprobe.MOST_PROBES)
+    probes = int(np.sort(multiprobe.first_probes([(x[i], x[j]) for i, j in near], hashes, sets))[int(0.92 * len(near))]) + 1
+    plan = multiprobe.Plan(hashes, probes, 1, "<f8")
+    met = np.zeros((80, len(x)), bool)
+    for t in range(multiprobe.TABLES):
+        names = multiprobe.cell_name(multiprobe.cells_of(unit, t, hashes)[0], x.shape[1], t)
+        for k, cells in enumerate(multiprobe.probed(unit[::50], t, plan, sets[:probes])):
+            met[k] |= np.isin(names, cells)
+    assert np.mean([met[i // 50, j] for i, j in near]) >= 0.9 and met.mean() < 0.2
