@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Counted rows up to which a narrow table is broadcast.
 BROADCAST_ROWS = 500_000
 #: A key with more than this share of a table's rows is joined apart; there are fewer such keys than 1 / HOT.
-HOT = 1 / 512
+HOT = 1 / 4096
 #: Where intermediate results go on a local master that names no shared folder.
 LOCAL_DIR = "/tmp/lexiloom-checkpoints"
 
@@ -61,7 +61,7 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def skew_join(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame:
-    """The inner join of rows with found (one row for each value of key, a long, with n, its number of rows), without n.
+    """The inner join of rows with found (one row for each value of key, a long or string, with n, its number of rows), without n.
 
     Values of more than HOT of the total are looked up in a broadcast table, which has fewer than 1 / HOT rows
     whatever the data; their rows then go through the shuffle under scattered keys.
@@ -69,7 +69,7 @@ def skew_join(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFr
     names = [c for c in found.columns if c not in (key, "n")]
     hot = F.broadcast(found.where(F.col("n") > HOT * total).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in names]))
     looked = rows.join(hot, F.col(key) == F.col("_hot"), "left")
-    scattered = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+    scattered = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(F.monotonically_increasing_id()).cast(rows.schema[key].dataType))
     cold = found.select(F.col(key).alias("_cold"), *[F.col(c).alias(f"_cold_{c}") for c in names])
     both = looked.withColumn("_key", scattered).join(cold, F.col("_key") == F.col("_cold"), "left").where("_hot is not null or _cold is not null")
     return both.select(*rows.columns, *[F.when(F.col("_hot").isNotNull(), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in names])
