@@ -82,16 +82,66 @@ def test_tree_deals_whole_quotas(documents):
         mixing.drawn_blocks(sources, 6)
 
 
-def test_materialised_words(documents):
+def test_whole_documents_by_shard(spark, documents, odd, tmp_path):
+    """The mix holds whole documents, as often as blocks with their first word are drawn, shard by shard in the order of places."""
     got = mixing.materialise(documents)
     assert got.columns == documents.columns
-    words = Counter()
-    for r in got.collect():
-        assert r.n_chars == len(r.text) and r.text.strip()
-        words[r.doc_id] += size(r.text)
-    assert words == Counter({r.doc_id: r.taken for r in mixing.taken(documents).collect() if r.taken})
-    texts = {r.doc_id: r.text for r in documents.collect()}
-    assert all(r.text in texts[r.doc_id] for r in got.collect())
+    copies = Counter()
+    for r in mixing.taken(documents).collect():
+        copies[r.doc_id] += sum(p.split(":")[3] == "0" for p in r.drawn.split(",") if p)
+    rows = {r.doc_id: r for r in documents.collect()}
+    assert Counter(r.doc_id for r in got.collect()) == +copies and all(r == rows[r.doc_id] for r in got.collect())
+    total, want = targets(documents.collect())
+    words, longest = Counter(), Counter()
+    for r in rows.values():
+        words[r.source] += copies[r.doc_id] * size(r.text)
+        longest[r.source] = max(longest[r.source], size(r.text))
+    assert all(abs(words[s] - want[s]) <= 4 * longest[s] for s in total)
+    placed = mixing.dealt(documents).withColumn("part", F.spark_partition_id()).collect()
+    order = [(r[mixing.SHARD], r[mixing.PLACE]) for r in sorted(placed, key=lambda r: r.part)]
+    assert order == sorted(order) and len({s for s, _ in order}) > 16 and [r.doc_id for r in placed] != sorted(r.doc_id for r in placed)
+    mixing.write_mix(documents, str(tmp_path / "m"), "part")
+    back = Counter((r.part, r.doc_id) for r in spark.read.parquet(str(tmp_path / "m")).collect())
+    assert back == Counter((r[mixing.SHARD], r.doc_id) for r in placed)
+    with pytest.raises(ValueError):
+        mixing.write_mix(odd, str(tmp_path / "x"))
+
+
+def test_whole_documents_of_odd_tables(odd, spark):
+    for docs in (odd, odd.groupBy(*odd.columns).count().drop("count")):  # the second is no table of files
+        got = mixing.materialise(docs)
+        assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= {tuple(r) for r in docs.collect()}
+        assert all(size(r.text) for r in got.collect())
+    long = spark.createDataFrame([(1, "w " * 300_000, "a"), (2, "x y", "a"), (3, "z " * 50, "b")], "doc_id long, text string, source string")
+    check(long, mixing.taken(long).collect())
+    assert {r.doc_id: r.text for r in mixing.materialise(long).collect()}[1] == "w " * 300_000
+
+
+def test_many_copies_and_sources(spark):
+    """Copies of one row, rows without id, and as many sources as rows."""
+    rows = [(7, "a b c", "s")] * 200 + [(None, "d e", "s")] * 50 + [(i, "w " * (i % 7), f"t{i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.taken(docs.repartition(6)).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
+    check(docs.where("source = 's'"), mixing.taken(docs.where("source = 's'"), shards=8, blocks=16).collect())
+    total, want = targets(docs.collect())
+    assert sum(r.taken for r in got) == sum(int(want[s] + 0.5) for s in total)
+    again = Counter(r[:5] for r in mixing.taken(docs.repartition(3)).collect())
+    assert again == Counter(r[:5] for r in got)
+
+
+def test_shards_and_quotas_come_from_the_tree(documents):
+    pieces = {}
+    for shards in (1, 8, 32):
+        pieces[shards] = mixing.taken(documents, shards=shards, blocks=16).collect()
+        found = [p.split(":") for r in pieces[shards] for p in r.drawn.split(",") if p]
+        assert {int(p[0]) for p in found} == set(range(shards)) if shards < 32 else len({p[0] for p in found}) > 16
+        assert sum(int(p[4]) for p in found) == sum(r.taken for r in pieces[shards])
+    assert {r.doc_id: r.drawn for r in pieces[8]} != {r.doc_id: r.drawn for r in pieces[32]}
+    sources = mixing.source_targets(mixing.sizes(documents), 8, 16)
+    drawn = mixing.drawn_blocks(sources, 8).collect()
+    quota = Counter((r.s, r.shard) for r in drawn)
+    assert all(quota[r.s, r.shard] == r.quota for r in drawn)
 
 
 def test_nothing_to_mix(odd):
