@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.sources.tables import small
+from lexiloom.sources.tables import BROADCAST_ROWS, numbered, small
 
 #: Added to a row's sum before its probabilities are taken, a fixed value.
 EPSILON = 0.001
@@ -16,8 +16,10 @@ CHUNK = 64
 def cooccurrence(corpus: DataFrame, targets: DataFrame, contexts: DataFrame, window: int = 5, dynamic: bool = False) -> DataFrame:
     """(target_id, ctx_id, val) of a tokenized corpus (toks).
 
-    targets (word, word_id) and contexts (word, ctx_id) are joined before and after the window is
-    opened, so that only accepted pairs are counted. Positions count all tokens of a line, unknown
+    contexts (word, ctx_id) are joined right after the window is opened, so that only accepted pairs are
+    counted; targets (word, word_id) before it, where they are few enough to broadcast. More targets
+    than that are joined after the counting, so that no token is shuffled, only counts, and a target
+    has at most a row for each context. Positions count all tokens of a line, unknown
     ones too, and a window never leaves its line. dynamic weighs a pair (window + 1 - distance) /
     window; the numerators are summed as integers, so the result doesn't depend on an order.
     """
@@ -31,13 +33,17 @@ def cooccurrence(corpus: DataFrame, targets: DataFrame, contexts: DataFrame, win
     )
     tokens = corpus.select(F.inline(parts)).select("lead", "part", F.posexplode("part").alias("j", "word"))
     tokens = tokens.where((F.col("j") >= F.col("lead")) & (F.col("j") < F.col("lead") + CHUNK))
-    centres = tokens.join(small(targets.select("word", "word_id")), "word")
+    few = targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    ids = targets.select("word", "word_id")
+    centres = tokens.join(F.broadcast(ids), "word") if few else tokens
+    name = "word_id" if few else "word"
     first = F.greatest(F.col("j") - window, F.lit(0))
     around = F.slice("part", first + 1, F.col("j") - first + window + 1)
-    pairs = centres.select(F.col("word_id").alias("target_id"), (F.col("j") - first).alias("before"), F.posexplode(around).alias("at", "word")).where("at <> before")
+    pairs = centres.select(F.col(name).alias("target_id"), (F.col("j") - first).alias("before"), F.posexplode(around).alias("at", "word")).where("at <> before")
     pairs = pairs.join(small(contexts.select("word", "ctx_id")), "word")
     weight = F.sum(F.lit(window + 1) - F.abs(F.col("at") - F.col("before"))) / window if dynamic else F.count("*")
-    return pairs.groupBy("target_id", "ctx_id").agg(weight.cast("double").alias("val"))
+    counted = pairs.groupBy("target_id", "ctx_id").agg(weight.cast("double").alias("val"))
+    return counted if few else counted.join(ids, counted["target_id"] == ids["word"]).select(F.col("word_id").alias("target_id"), "ctx_id", "val")
 
 
 def found_targets(cooc: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -61,8 +67,9 @@ def shape(cooc: DataFrame) -> DataFrame:
 
 
 def dense_rows(targets: DataFrame) -> DataFrame:
-    """(word_id, word, row_id): rows numbered from 0 in the order of word ids; targets is at most the matrix's rows."""
-    return targets.withColumn("row_id", (F.dense_rank().over(Window.orderBy("word_id")) - 1).cast("int"))
+    """(word_id, word, row_id): distinct word ids numbered from 0 in their order, range by range."""
+    rows = numbered(targets.select("word_id").distinct(), [F.col("word_id")], "row_id")
+    return targets.join(rows.withColumn("row_id", F.col("row_id").cast("int")), "word_id").select(*targets.columns, "row_id")
 
 
 def csr(matrix: DataFrame) -> DataFrame:

@@ -44,6 +44,12 @@ def fold_in(rows: DataFrame, svd: Svd, dim: int, eig: float = 0.0, normalize: bo
     return found.withColumn("vec", unit(F.col("vec"))) if normalize else found
 
 
+def named(words: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(word_id, word, vec) of words (word_id, word) and vectors (target_id, vec), which must have the same ids."""
+    check_aligned(words, vectors)
+    return words.select("word_id", "word").join(vectors.withColumnRenamed("target_id", "word_id"), "word_id")
+
+
 def check_aligned(words: DataFrame, vectors: DataFrame, key: str = "target_id", word_key: str = "word_id") -> None:
     """Words and vectors must have the same ids."""
     left, right = words.select(F.col(word_key).alias("k")), vectors.select(F.col(key).alias("k"))

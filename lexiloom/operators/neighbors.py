@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.operators.embed import check_aligned
+
 #: Queries compared with all rows in one pass; more queries take more passes.
 QUERIES = 4096
 DIGITS = 9
@@ -66,7 +68,8 @@ def _block(v: DataFrame, block: list, top: int) -> DataFrame:
 
 
 def listed(vectors: DataFrame, names: DataFrame, words: DataFrame, top: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(word, line) for each known word of words (word): "word --> n1, n2, ..."; unknown words are skipped. names: (id, word)."""
+    """(word, line) for each known word of words (word): "word --> n1, n2, ..."; unknown words are skipped. names (id, word) has the ids of vectors."""
+    check_aligned(names, vectors, id_col, "id")
     known = words.select("word").distinct().join(names, "word").select("id", "word")
     found = nearest(vectors, known.select("id"), top, id_col, vector_col)
     of = names.select(F.col("id").alias("neighbor_id"), F.col("word").alias("neighbor"))
@@ -75,6 +78,11 @@ def listed(vectors: DataFrame, names: DataFrame, words: DataFrame, top: int = 10
     return named.join(known, named["query_id"] == known["id"]).select("word", line.alias("line"))
 
 
+def unknown_words(names: DataFrame, words: DataFrame) -> DataFrame:
+    """(word): the words asked for that have no vector."""
+    return words.select("word").distinct().join(names, "word", "left_anti")
+
+
 def sample_words(names: DataFrame, n: int = 1, seed: int = 0) -> DataFrame:
     """n words drawn at random, the same ones for a seed."""
     return names.orderBy(F.xxhash64("word", F.lit(seed)), "word").limit(n)

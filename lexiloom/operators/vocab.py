@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.sources.tables import numbered
+
 #: Occurrence thresholds of the statistics report, fixed values.
 OCCURRENCES = (10000, 5000, 1000, 500, 100, 50, 10, 5, 4, 3, 2)
-#: Characters of a word that name a numbering group.
-PREFIX = 2
 
 
 def counts(corpus: DataFrame, *by: str) -> DataFrame:
@@ -20,21 +20,8 @@ def counts(corpus: DataFrame, *by: str) -> DataFrame:
 
 
 def with_ids(vocab: DataFrame) -> DataFrame:
-    """vocab (word, freq) with word_id, the rank from 0 by falling frequency and then by word.
-
-    No task sorts all words: a word's rank is the number of words of higher frequency, plus those
-    of its frequency with a lower prefix, plus its rank among those of its prefix.
-    """
-    v = vocab.withColumn("prefix", F.substring("word", 1, PREFIX))
-    groups = v.groupBy("freq", "prefix").agg(F.count("*").alias("n"))
-    per_freq = groups.groupBy("freq").agg(F.sum("n").alias("n"))
-    above = Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each distinct frequency
-    per_freq = per_freq.select("freq", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
-    lower = Window.partitionBy("freq").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select("freq", "prefix", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("lower")).join(per_freq, "freq")
-    inside = F.row_number().over(Window.partitionBy("freq", "prefix").orderBy("word")) - 1
-    ranked = v.withColumn("inside", inside).join(groups, ["freq", "prefix"])
-    return ranked.select("word", "freq", (F.col("above") + F.col("lower") + F.col("inside")).cast("int").alias("word_id"))
+    """vocab (word, freq) with word_id, the rank from 0 by falling frequency and then by word; words are numbered range by range."""
+    return numbered(vocab.select("word", "freq"), [F.desc("freq"), F.col("word")], "word_id").withColumn("word_id", F.col("word_id").cast("int"))
 
 
 def top(vocab: DataFrame, n: int) -> DataFrame:

@@ -30,7 +30,7 @@ class Options:
     dim: int = 100
     eig: float = 0.0
     normalize: bool = False
-    method: str = "auto"
+    method: str = "randomized"
 
     def __post_init__(self):
         vocab.check_band(self.lower_bound, self.upper_bound)
@@ -40,6 +40,8 @@ class Options:
             raise ValueError("dim must be from 1 to rank")
         if not 0 <= self.eig <= 1:
             raise ValueError("eig must be from 0 to 1")
+        if self.method not in ("randomized", "gram"):
+            raise ValueError("method must be randomized or gram")
 
 
 @dataclass
@@ -55,7 +57,7 @@ class Counts:
 def count(docs: DataFrame, options: Options, context_words: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> Counts:
     """Vocabulary, targets, contexts and co-occurrences of docs; context_words (id, word) replaces the frequency band."""
     tokenized = corpus(spread(docs.select(id_col, text_col)), id_col, text_col, options.lower, options.digit)
-    words = durable(vocab.with_ids(durable(vocab.counts(tokenized), "words")), "vocab")  # texts are tokenized once for all uses of the counts
+    words = durable(vocab.with_ids(vocab.counts(tokenized)), "vocab")
     check_not_empty(words, "the corpus")
     targets = vocab.targets(words, options.min_freq)
     contexts = vocab.context_band(words, options.upper_bound, options.lower_bound, options.inclusive_tail) if context_words is None else vocab.context_list(words, context_words)
@@ -84,7 +86,7 @@ def infer(docs: DataFrame, contexts: DataFrame, svd: Svd, options: Options, min_
     if contexts.count() != len(svd.v):
         raise ValueError("the contexts aren't those of the decomposition")
     tokenized = corpus(spread(docs), lower=options.lower, digit=options.digit)
-    words = durable(vocab.with_ids(durable(vocab.counts(tokenized), "words")), "vocab")  # texts are tokenized once for all uses of the counts
+    words = durable(vocab.with_ids(vocab.counts(tokenized)), "vocab")
     pairs = cooc.cooccurrence(tokenized, vocab.targets(words, min_freq), contexts, options.window, options.dynamic)
     vectors = embed.fold_in(cooc.csr(cooc.hellinger(pairs)), svd, min(options.dim, len(svd.s)), options.eig, options.normalize)
     return words.select("word_id", "word").join(vectors.withColumnRenamed("target_id", "word_id"), "word_id")

@@ -14,12 +14,14 @@ from lexiloom.functions import vectors as V
 from lexiloom.operators import cooc, embed, evaluate, neighbors, svd, vocab
 from lexiloom.plans import pipeline
 from lexiloom.sources import interchange as io
-from lexiloom.sources.tables import durable, spread, table
+from lexiloom.sources.tables import durable, shared_path, spread, table
 
 MIN_FREQ, LOWER, UPPER, WINDOW = 10, 1e-4, 1.0, 5
 RANK, DIM = 20, 10
-#: Targets whose rows are compared with all others: the most frequent ones.
-PROBES = 20
+#: The stated query set of searches among targets: every id divisible by this, against all rows.
+EVERY = 100
+#: Contexts of the matrix whose decomposition is complete, so that SQL can say what its parts add up to.
+FULL = 30
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,7 +92,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.with_ids(durable(words(spark, sf_dir), "words"))
+    return vocab.with_ids(words(spark, sf_dir))
 
 
 def counted(spark: SparkSession, sf_dir: str, **changes) -> pipeline.Counts:
@@ -275,13 +277,16 @@ def csr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("target_id", "idx", F.transform("val", lambda x: F.round(x, 6)).alias("val"))
 
 
-SIMILAR = f"{HELLINGER}, s AS (SELECT p.target_id AS query_id, q.target_id, sum(p.a * q.a) AS affinity FROM m p JOIN m q ON p.ctx_id = q.ctx_id WHERE p.target_id < {PROBES} GROUP BY p.target_id, q.target_id)"
+SIMILAR = f"{HELLINGER}, s AS (SELECT p.target_id AS query_id, q.target_id, sum(p.a * q.a) AS affinity FROM m p JOIN m q ON p.ctx_id = q.ctx_id WHERE p.target_id % {EVERY} = 0 GROUP BY p.target_id, q.target_id)"
+
+
+def probes(m: DataFrame) -> DataFrame:
+    return m.where(F.col("target_id") % EVERY == 0).select("target_id").distinct()
 
 
 def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = durable(cooc.hellinger(counted(spark, sf_dir).cooc), "matrix")
-    probes = m.where(F.col("target_id") < PROBES).select("target_id").distinct()
-    return cooc.affinity(m, probes)
+    return cooc.affinity(m, probes(m))
 
 
 @query(f"WITH {SIMILAR} SELECT query_id, target_id, round(affinity, 6) AS affinity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(affinity, 9) DESC, target_id) <= 10")
@@ -300,9 +305,8 @@ FROM s JOIN n p ON p.target_id = s.query_id JOIN n q ON q.target_id = s.target_i
 )
 def hellinger_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = durable(cooc.hellinger(counted(spark, sf_dir).cooc), "matrix")
-    probes = m.where(F.col("target_id") < PROBES).select("target_id").distinct()
     n2 = m.groupBy("target_id").agg(F.sum(F.col("a") * F.col("a")).alias("n2"))
-    s = cooc.affinity(m, probes).join(n2, "target_id").join(n2.select(F.col("target_id").alias("query_id"), F.col("n2").alias("own")), "query_id")
+    s = cooc.affinity(m, probes(m)).join(n2, "target_id").join(n2.select(F.col("target_id").alias("query_id"), F.col("n2").alias("own")), "query_id")
     return s.select("query_id", "target_id", F.round(F.greatest(F.col("n2") + F.col("own") - 2 * F.col("affinity"), F.lit(0.0)), 6).alias("d2"))
 
 
@@ -326,7 +330,7 @@ def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def svd_singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, rows, n_cols = sparse_rows(spark, sf_dir)
     n = rows.count()
-    found = svd.truncated_svd(rows, n, n_cols, min(RANK, n, n_cols), method="randomized")
+    found = svd.truncated_svd(rows, n, n_cols, min(RANK, n, n_cols))
     return spark.createDataFrame([(k, float(x)) for k, x in enumerate(found.s)], "k int, sigma double")
 
 
@@ -361,7 +365,7 @@ def symmetric_eigenvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows, n_cols = sparse_rows(spark, sf_dir)
     products = svd.gram_rows(rows, n_cols)
     square = products.select(F.col("k").alias("target_id"), F.sequence(F.lit(0), F.size("vec") - 1).alias("idx"), F.col("vec").alias("val"))
-    values, _ = svd.symmetric_eigen(durable(square, "square"), n_cols, min(DIM, n_cols), method="randomized")
+    values, _ = svd.symmetric_eigen(durable(square, "square"), n_cols, min(DIM, n_cols))
     return spark.createDataFrame([(k, float(x)) for k, x in enumerate(values)], "k int, value double")
 
 
@@ -373,6 +377,130 @@ def svd_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.infer(turns, c.contexts, pipeline.decompose(c, options()), options(), min_freq=MIN_FREQ)
 
 
+# What must hold of decompositions, for all rows: SQL can't decompose, but knows these.
+
+
+@query(f"SELECT i, j, (i = j)::INTEGER::DOUBLE AS val FROM range({RANK}) a(i), range({RANK}) b(j)")
+def svd_left_orthonormal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of the columns of U."""
+    found = pipeline.decompose(counted(spark, sf_dir), options())
+    return _products(svd.inner_products(found.u, len(found.s)))
+
+
+@query(f"SELECT i, j, (i = j)::INTEGER::DOUBLE AS val FROM range({RANK}) a(i), range({RANK}) b(j)")
+def svd_right_orthonormal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of the columns of V, from the orthonormalised projection."""
+    found = pipeline.decompose(counted(spark, sf_dir), options())
+    v = spark.createDataFrame([(r.tolist(),) for r in found.v], "vec array<double>")
+    return _products(svd.inner_products(v, len(found.s)))
+
+
+def _products(found: DataFrame) -> DataFrame:
+    rounded = found.select(F.col("k").cast("long").alias("i"), F.posexplode("vec").alias("j", "val"))
+    return rounded.select("i", F.col("j").cast("long").alias("j"), (F.round("val", 6) + 0.0).alias("val"))
+
+
+@query(f"WITH {HELLINGER} SELECT DISTINCT target_id, 0.0::DOUBLE AS residual FROM m")
+def svd_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length of A V - U S for each row."""
+    c, rows, n_cols = sparse_rows(spark, sf_dir)
+    n = rows.count()
+    found = svd.truncated_svd(rows, n, n_cols, min(RANK, n, n_cols))
+    av = svd.project(rows, found.v).withColumnRenamed("vec", "av")
+    s = F.array(*[F.lit(float(x)) for x in found.s])
+    away = F.zip_with("av", V.scale_each(F.col("vec"), s), lambda a, b: a - b)
+    return found.u.join(av, "target_id").select("target_id", (F.round(F.sqrt(V.dot(away, away)), 6) + 0.0).alias("residual"))
+
+
+FULL_ROWS = f"{HELLINGER}, f AS (SELECT * FROM m WHERE ctx_id < {FULL})"
+
+
+def full_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, int]:
+    m = cooc.hellinger(counted(spark, sf_dir).cooc).where(F.col("ctx_id") < FULL)
+    rows = durable(cooc.csr(m), "rows")
+    return rows, rows.count(), FULL
+
+
+def lengths(vectors: DataFrame) -> DataFrame:
+    return vectors.select("target_id", F.round(V.dot(F.col("vec"), F.col("vec")), 6).alias("n2"))
+
+
+@query(f"WITH {FULL_ROWS} SELECT target_id, round(sum(a * a), 6) AS n2 FROM f GROUP BY target_id")
+def svd_full_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared lengths of the rows of U S where no rank is given: those of the matrix's rows."""
+    rows, n, n_cols = full_rows(spark, sf_dir)
+    found = svd.truncated_svd(rows, n, n_cols)
+    return lengths(embed.embeddings(found, len(found.s), 1.0))
+
+
+@query(f"WITH {FULL_ROWS} SELECT target_id, round(sum(a * a), 6) AS n2 FROM f GROUP BY target_id")
+def pca_full_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared lengths of the scores of all components."""
+    return lengths(svd.principal_components(*full_rows(spark, sf_dir))[0])
+
+
+@query(
+    f"""WITH {FULL_ROWS}, g AS (SELECT p.ctx_id AS i, q.ctx_id AS j, sum(p.a * q.a) AS val FROM f p JOIN f q ON p.target_id = q.target_id GROUP BY p.ctx_id, q.ctx_id)
+SELECT round(sum(val) FILTER (i = j), 6) AS trace, round(sum(val * val), 4) AS squares FROM g"""
+)
+def symmetric_eigen_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sums of all eigenvalues of the products of columns, and of their squares."""
+    rows, _, n_cols = full_rows(spark, sf_dir)
+    products = svd.gram_rows(rows, n_cols)
+    square = products.select(F.col("k").alias("target_id"), F.sequence(F.lit(0), F.size("vec") - 1).alias("idx"), F.col("vec").alias("val"))
+    values, _ = svd.symmetric_eigen(durable(square, "square"), n_cols)
+    return spark.createDataFrame([(round(float(values.sum()), 6), round(float((values**2).sum()), 4))], "trace double, squares double")
+
+
+@query(f"WITH {HELLINGER} SELECT count(DISTINCT target_id) * {RANK} AS n, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS sd FROM m")
+def gaussian_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, mean and deviation, to one decimal, of the random numbers that a projection draws for the rows."""
+    rows = sparse_rows(spark, sf_dir)[1].select("target_id").mapInPandas(lambda batches: (_moments(b["target_id"].to_numpy()) for b in batches), "n long, s double, q double")
+    sums = rows.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    mean = F.col("s") / F.col("n")
+    return sums.select("n", (F.round(mean, 1) + 0.0).alias("mean"), F.round(F.sqrt(F.col("q") / F.col("n") - mean * mean), 1).alias("sd"))
+
+
+def _moments(ids):
+    import pandas as pd
+
+    x = svd.gaussian_rows(ids, RANK)
+    return pd.DataFrame({"n": [x.size], "s": [x.sum()], "q": [(x * x).sum()]})
+
+
+@query(f"WITH {COOC} SELECT word_id, word, {DIM} AS dim, 1.0::DOUBLE AS norm FROM target WHERE word_id IN (SELECT target_id FROM cooc)")
+def embedding_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every found target has a vector of the asked length, and of length one."""
+    c = counted(spark, sf_dir)
+    found = embed.embeddings(pipeline.decompose(c, options()), DIM, 0.5, normalize=True)
+    named = embed.named(cooc.found_targets(c.cooc, c.targets), found)
+    return named.select("word_id", "word", F.size("vec").alias("dim"), F.round(F.sqrt(V.dot(F.col("vec"), F.col("vec"))), 6).alias("norm"))
+
+
+@query(f"WITH {HELLINGER} SELECT DISTINCT target_id, 0.0::DOUBLE AS away FROM m")
+def fold_in_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folding in the rows that were decomposed gives their own vectors."""
+    c, rows, n_cols = sparse_rows(spark, sf_dir)
+    n = rows.count()
+    found = svd.truncated_svd(rows, n, n_cols, min(RANK, n, n_cols))
+    again = embed.fold_in(rows, found, DIM, 0.5).withColumnRenamed("vec", "again")
+    away = F.zip_with("again", "vec", lambda a, b: a - b)
+    return embed.embeddings(found, DIM, 0.5).join(again, "target_id").select("target_id", (F.round(F.sqrt(V.dot(away, away)), 6) + 0.0).alias("away"))
+
+
+#: Targets of conversations over the contexts of documents: those that are folded in.
+INFERRED = f"""{BAND}, {sql_tokens('turn', '(SELECT conv_id, turn AS turn_no, text FROM conversations)', 'conv_id', 'turn_no')},
+other AS (SELECT word, (row_number() OVER (ORDER BY freq DESC, word) - 1)::INTEGER AS word_id, freq FROM (SELECT word, count(*) AS freq FROM turn GROUP BY word)),
+pair AS (SELECT DISTINCT o.word_id, o.word FROM turn a JOIN turn b ON a.doc_id = b.doc_id AND a.turn_no = b.turn_no AND a.line_no = b.line_no AND a.pos <> b.pos AND abs(a.pos - b.pos) <= {WINDOW}
+  JOIN other o ON o.word = a.word AND o.freq >= {MIN_FREQ} JOIN ctx c ON c.word = b.word)"""
+
+
+@query(f"WITH {INFERRED} SELECT word_id, word, {DIM} AS dim FROM pair")
+def svd_inference_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of conversations get a vector."""
+    return svd_inference(spark, sf_dir).select("word_id", "word", F.size("vec").alias("dim"))
+
+
 # --- given vectors -----------------------------------------------------------------------------
 
 E64 = "embedding::DOUBLE[]"
@@ -481,6 +609,16 @@ def argsort_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.argsort(scored(spark, sf_dir), "score", ascending=False, tie="w1").select("dataset", "w1", "w2", F.col("place").cast("int").alias("place"))
 
 
+@query(
+    f"""WITH {PAIRS}, {RANKS} SELECT dataset, count(*) AS n_pairs, count(*) AS n_found, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS sd,
+round(corr(score, gold), 6) AS pearson, round(1 - 6 * sum((r1 - r2) ** 2) / (count(*) * (count(*) * count(*) - 1.0)), 6) AS spearman FROM ranked GROUP BY dataset"""
+)
+def similarity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = scored(spark, sf_dir).select("dataset", "w1", "w2", "gold")
+    found = evaluate.similarity_report(named(spark, sf_dir), known)
+    return found.select("dataset", "n_pairs", "n_found", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "pearson", "spearman")])
+
+
 #: The same pairs, and for each dataset some with a word that has no vector.
 @query(
     f"""WITH {PAIRS}, p AS (SELECT dataset, count(*) AS n FROM pair GROUP BY dataset)
@@ -569,6 +707,82 @@ def cooc_records_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.unpack_records(durable(io.pack_records(counted(spark, sf_dir).cooc), "records"))
 
 
-@query()
+MANIFEST = ", ".join(f"('{k}', '{v}')" for k, v in asdict(options()).items())
+
+
+@query(f"SELECT * FROM (VALUES {MANIFEST}) t(key, value)")
 def options_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.manifest(spark, options())
+    """The options, written as key=value lines and read again."""
+    path = shared_path(spark, "options")
+    io.write_options(pipeline.manifest(spark, options()), path)
+    return io.read_options(spark, path)
+
+
+@query(f"WITH {VOCAB} SELECT word, freq, word_id FROM vocab")
+def vocab_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "vocab-file")
+    io.write_lines(io.vocab_lines(words(spark, sf_dir)), path)
+    return io.read_vocab(spark, path)
+
+
+@query(f"WITH {BAND} SELECT ctx_id AS id, word FROM ctx")
+def word_list_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "words-file")
+    io.write_words(vocab.context_band(durable(ranked(spark, sf_dir), "vocab"), UPPER, LOWER), path, "ctx_id")
+    return io.read_words(spark, path)
+
+
+@query(f"WITH v AS (SELECT {E64} AS e, (row_number() OVER (ORDER BY vec_id) - 1)::BIGINT AS row_id FROM embeddings) SELECT row_id, list_transform(e[1:16], lambda x: round(x, 5)) AS vec FROM v")
+def matrix_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text matrix, and its first columns."""
+    path = shared_path(spark, "matrix-file")
+    io.write_matrix(vectors(spark, sf_dir).withColumn("vec", F.transform("vec", lambda x: F.round(x, 5))), path, "vec_id")
+    return io.read_matrix(spark, path, 16).select("row_id", F.transform("vec", lambda x: F.round(x, 5)).alias("vec"))
+
+
+@query(f"WITH v AS (SELECT {E64} AS e, (row_number() OVER (ORDER BY vec_id) - 1)::INTEGER AS target_id FROM embeddings) SELECT target_id, list_transform(e, lambda x: round(x, 5)) AS val, 64 AS width FROM v")
+def sparse_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "sparse-file")
+    line = io.sparse_text(F.sequence(F.lit(0), F.size("vec") - 1), F.transform("vec", lambda x: F.round(x, 5)))
+    io.write_lines(vectors(spark, sf_dir).orderBy("vec_id").select(line.alias("line")), path)
+    rows, width = io.read_sparse(spark, path)
+    return rows.select("target_id", F.transform("val", lambda x: F.round(x, 5)).alias("val"), F.lit(width).alias("width"))
+
+
+@query(f"WITH {HELLINGER} SELECT DISTINCT target_id, 0.0::DOUBLE AS away, {RANK} AS rank FROM m")
+def svd_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decomposition, written and read; U against A V / S of what was read."""
+    _, rows, n_cols = sparse_rows(spark, sf_dir)
+    n = rows.count()
+    path = shared_path(spark, "svd")
+    io.write_svd(svd.truncated_svd(rows, n, n_cols, min(RANK, n, n_cols)), path)
+    found = io.read_svd(spark, path)
+    again = svd.project(rows, found.v / found.s).withColumnRenamed("vec", "again")
+    away = F.zip_with("again", "vec", lambda a, b: a - b)
+    return found.u.join(again, "target_id").select("target_id", (F.round(F.sqrt(V.dot(away, away)), 6) + 0.0).alias("away"), F.lit(len(found.s)).alias("rank"))
+
+
+@query("WITH l AS (SELECT unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line FROM documents) SELECT line, count(*) AS n FROM l GROUP BY line")
+def gzip_lines_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of the documents, through gzipped text files."""
+    path = shared_path(spark, "gzip")
+    text = documents(spark, sf_dir).select(F.explode(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n")).alias("line"))
+    io.write_lines(text, path, gzip=True)
+    return io.read_lines(spark, path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PAIRS} SELECT dataset, 'w' || w1 AS w1, 'w' || w2 AS w2, gold FROM pair WHERE dataset = 'set1'")
+def pairs_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A data set as tab-separated lines that end with CR LF."""
+    path = shared_path(spark, "pairs")
+    known = scored(spark, sf_dir).where("dataset = 'set1'")
+    io.write_lines(known.select(F.concat(F.lit("w"), "w1", F.lit("\tw"), "w2", F.lit("\t"), "gold", F.lit("\r")).alias("line")), path)
+    return io.read_pairs(spark, path, "set1")
+
+
+@query(f"WITH {QUESTIONS} SELECT category, 'w' || a AS a, 'w' || b AS b, 'w' || c AS c, 'w' || d AS d FROM question WHERE category = 'label3'")
+def questions_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "questions")
+    known = questions(spark, sf_dir).where("category = 'label3'")
+    io.write_lines(known.select(F.concat_ws(" ", *[F.concat(F.lit("w"), c) for c in "abcd"]).alias("line")), path)
+    return io.read_questions(spark, path, "label3")

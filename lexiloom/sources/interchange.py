@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiloom.operators.svd import Svd
+
 #: A co-occurrence record: target id, context id (unsigned 32-bit), value (32-bit float), little-endian.
 RECORD = np.dtype([("target_id", "<u4"), ("ctx_id", "<u4"), ("val", "<f4")])
 
@@ -17,9 +19,15 @@ RECORD = np.dtype([("target_id", "<u4"), ("ctx_id", "<u4"), ("val", "<f4")])
 # --- lines -------------------------------------------------------------------------------------
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value): the lines of plain or gzipped text (by its .gz suffix); a last line needs no newline."""
-    return spark.read.text(path)
+def read_lines(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
+    """(value): the lines of plain or gzipped text (by its .gz suffix); a last line needs no newline. header skips the first line of each file."""
+    lines = spark.read.text(path)
+    if not header:
+        return lines
+    # a file's first line is the one of its least place; splits are numbered in the order of a file
+    placed = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    first = F.broadcast(placed.where("_block = 0").groupBy("_file").agg(F.min("_at").alias("_at")))  # a row for each file; lines keep their order
+    return placed.join(first, ["_file", "_at"], "left_anti").select("value")
 
 
 def read_corpus(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
@@ -38,7 +46,7 @@ def is_gzip(head: bytes) -> bool:
 
 
 def count_lines(spark: SparkSession, path: str, header: bool = False) -> int:
-    return max(0, read_lines(spark, path).count() - int(header))
+    return read_lines(spark, path, header).count()
 
 
 def count_columns(spark: SparkSession, path: str, delimiter: str = " ") -> int:
@@ -47,6 +55,28 @@ def count_columns(spark: SparkSession, path: str, delimiter: str = " ") -> int:
     return 0 if first is None else len(first.value.rstrip(delimiter + "\r").split(delimiter))
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files below a folder; an error where there is none."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def readable(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def unique_name(spark: SparkSession, path: str) -> str:
+    """path, or path-1, path-2, ...: the first that isn't taken."""
+    name, n = path, 0
+    while readable(spark, name):
+        n += 1
+        name = f"{path}-{n}"
+    return name
+
+
 def check_not_empty(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"{what} is empty")
@@ -130,12 +160,62 @@ def ragged(matrix: DataFrame, vector_col: str = "vec") -> bool:
     return matrix.select(F.size(vector_col).alias("n")).distinct().limit(2).count() > 1
 
 
-def write_svd(svd, path: str) -> None:
-    """Three tables under path: u (target_id, vec), s (k, sigma), v (ctx_id, vec)."""
+def read_sparse(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(target_id, idx, val) of a file of "id:value" lines, whose ids are line numbers, and its width, the greatest id plus one."""
+    lines = numbered(read_lines(spark, path), "row")
+    rows = lines.select(F.col("row").cast("int").alias("target_id"), parse_sparse(F.col("value")).alias("e"))
+    rows = rows.select("target_id", F.transform("e", lambda x: x["idx"]).alias("idx"), F.transform("e", lambda x: x["val"]).alias("val"))
+    return rows, (rows.agg(F.max(F.array_max("idx"))).first()[0] or -1) + 1
+
+
+def _series(spark: SparkSession, values) -> DataFrame:
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(values)], "k int, value double")
+
+
+def _dense(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(matrix)], "row_id int, vec array<double>")
+
+
+def _read_dense(spark: SparkSession, path: str) -> np.ndarray:
+    """A matrix of columns x rank, which the driver held when it was written."""
+    return np.array([r.vec for r in spark.read.parquet(path).orderBy("row_id").collect()], float)
+
+
+def _read_series(spark: SparkSession, path: str) -> np.ndarray:
+    return np.array([r.value for r in spark.read.parquet(path).orderBy("k").collect()], float)
+
+
+def write_svd(svd: Svd, path: str) -> None:
+    """Three tables under path: u (target_id, vec), s (k, value), v (row_id, vec)."""
     spark = svd.u.sparkSession
     svd.u.write.parquet(f"{path}/u")
-    spark.createDataFrame([(k, float(x)) for k, x in enumerate(svd.s)], "k int, sigma double").write.parquet(f"{path}/s")
-    spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(svd.v)], "ctx_id int, vec array<double>").write.parquet(f"{path}/v")
+    _series(spark, svd.s).write.parquet(f"{path}/s")
+    _dense(spark, svd.v).write.parquet(f"{path}/v")
+
+
+def read_svd(spark: SparkSession, path: str) -> Svd:
+    """What write_svd wrote, for embeddings and folding in as separate steps."""
+    return Svd(spark.read.parquet(f"{path}/u"), _read_series(spark, f"{path}/s"), _read_dense(spark, f"{path}/v"))
+
+
+def write_components(scores: DataFrame, components: np.ndarray, path: str) -> None:
+    """Two tables under path: scores (target_id, vec), components (row_id, vec)."""
+    scores.write.parquet(f"{path}/scores")
+    _dense(scores.sparkSession, components).write.parquet(f"{path}/components")
+
+
+def read_components(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    return spark.read.parquet(f"{path}/scores"), _read_dense(spark, f"{path}/components")
+
+
+def write_eigen(spark: SparkSession, values: np.ndarray, vectors: np.ndarray, path: str) -> None:
+    """Two tables under path: values (k, value), vectors (row_id, vec)."""
+    _series(spark, values).write.parquet(f"{path}/values")
+    _dense(spark, vectors).write.parquet(f"{path}/vectors")
+
+
+def read_eigen(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray]:
+    return _read_series(spark, f"{path}/values"), _read_dense(spark, f"{path}/vectors")
 
 
 # --- co-occurrence records ---------------------------------------------------------------------
@@ -203,5 +283,11 @@ def options_table(spark: SparkSession, options: Mapping[str, object]) -> DataFra
     return spark.createDataFrame([(k, str(v)) for k, v in sorted(options.items())], "key string, value string")
 
 
+def read_options(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of "key=value" lines; blank lines and comments (#) are skipped."""
+    lines = read_lines(spark, path).where("trim(value) <> '' and not value like '#%'")
+    return lines.select(F.substring_index("value", "=", 1).alias("key"), F.expr("substring(value, instr(value, '=') + 1)").alias("value"))
+
+
 def write_options(options: DataFrame, path: str) -> None:
     write_lines(options.orderBy("key").select(F.concat_ws("=", "key", "value").alias("line")), path)
