@@ -7,8 +7,11 @@ format), with identity normalisation; nothing is trained. Texts are cut by the
 vocabulary's pattern, and each match is encoded by itself; a match that is a
 vocabulary entry is that entry, as in the rank library. Decoding maps ids back to bytes.
 
-Defined cases: a null text counts as empty and has no ids; lone surrogates cannot occur
-in Arrow strings; repeated rows are separate rows.
+Defined cases: a null text counts as empty and has no ids; a very long text is encoded whole,
+match by match, and a match has no bound either; of equal scores the leftmost pair merges first,
+as in the rank library; lone surrogates cannot occur in Arrow strings; repeated rows are separate
+rows, null ids stay null; other columns, whatever their names, are not looked at; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -112,10 +115,10 @@ class ByteBpe:
             if ids is None:
                 ids = self.encode_match(match)
                 if len(match) <= CACHE_LENGTH:
+                    if len(cache) >= CACHE_MATCHES:
+                        cache.clear()
                     cache[match] = ids
             out.append(ids)
-        if len(cache) > CACHE_MATCHES:
-            cache.clear()
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:

@@ -13,13 +13,16 @@ The base phrases are templates that must agree in every word; all their places a
 All of it is one projection of each file: no shuffle, and no Python on the executors.
 
 Defined cases: a null text counts as empty; a text without words has n_words 0, no places and
-no labels; repeated rows are scanned each; labels are sorted; score is the best accepted
-agreement, 0 without any.
+no labels; a very long text is scanned whole; repeated rows are scanned each, null ids stay null;
+labels are sorted; of equal agreements all places count; score is the best accepted agreement, 0
+without any; other columns, whatever their names, are not looked at; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +60,8 @@ TEMPLATES = [
 
 def _texts(c: Column) -> Column:
     """The words of a text, ASCII capitals lowered."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), SEPARATORS), lambda w: w != "")
+    lowered = F.translate(F.coalesce(c, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    return F.filter(F.split(lowered, SEPARATORS), lambda w: w != "")
 
 
 def _strings(words: list[str | None]) -> Column:
@@ -67,7 +71,7 @@ def _strings(words: list[str | None]) -> Column:
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[str, int]]:
     """The number of texts, and in how many each template word stands; at most one row for each template word is gathered."""
     vocabulary = sorted({w for _, t, *_ in [*BASE, *TEMPLATES] for w in t.split()})
-    words = F.filter(F.transform(_texts(F.col(text_col)), F.lower), lambda w: w.isin(vocabulary))
+    words = F.filter(_texts(F.col(text_col)), lambda w: w.isin(vocabulary))
     found = docs.select(F.explode(F.array_distinct(words)).alias("w")).groupBy("w").count().collect()
     return docs.count(), {r["w"]: r["count"] for r in found}
 
@@ -109,9 +113,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         def window(at: Column, n: Column) -> Column:
             before = F.greatest(-at, F.lit(0))  # places before the file's first word
             here = F.slice(words, F.greatest(at, F.lit(0)) + 1, F.greatest(n - before, F.lit(0)))
-            return F.concat(F.array_repeat(F.lit(""), before), F.transform(here, F.lower))
+            return F.concat(F.array_repeat(F.lit(""), before), here)
 
-        lookups = F.filter(F.transform(words, lambda w, i: F.struct(F.lower(w).alias("w"), i.alias("i"))), lambda x: x["w"].isin(sorted(rare)))
+        lookups = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(sorted(rare)))
         return F.flatten(
             F.transform(
                 lookups,

@@ -4,8 +4,10 @@ A key's shard depends on the key and the shard count alone; with one shard more,
 a key stays or moves to the new shard. No ring table is kept.
 
 Defined cases: a null key counts as the key -1; a null text has no
-bytes; repeated rows share a shard and get their own slots; an empty table gives an
-empty result.
+bytes; a very long text counts its bytes like any other; repeated rows share a shard and get
+their own slots, equal ones in any order; other columns, whatever their names, are not looked at,
+but write_shards refuses documents that have its folder's name as a column; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations

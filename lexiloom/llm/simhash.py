@@ -17,7 +17,9 @@ alike, and is dealt out as pairs of chunks.
 
 Defined cases: a null, empty or blank text has the fingerprint zero and links like any
 other; a text with fewer words than a shingle is one shingle; repeated rows stay and share
-a class; a null doc_id is no candidate for a class's id (a class of null ids has id null).
+a class; a null doc_id is no candidate for a class's id (a class of null ids has id null); very
+long texts are read whole, piece by piece; other columns, whatever their names, are not looked at,
+or stay as they are where documents are returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations

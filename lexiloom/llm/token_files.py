@@ -8,7 +8,9 @@ whole or not at all, and min/max statistics on the document bounds find a docume
 
 Defined cases: a null text counts as empty; each document ends with the end id, so an
 empty one has one id; a null doc_id sorts first and reads back as null; repeated
-doc_ids stay separate documents, ordered by their text's hash.
+doc_ids stay separate documents, ordered by their text's hash; a very long text
+is encoded whole and closes its segment; other columns, whatever their names, are not looked at;
+an empty table gives no files and no rows.
 """
 
 from __future__ import annotations

@@ -8,15 +8,21 @@ difference falls below zero, which only overfitting can make, its gradient is re
 Training reads bounded samples (POSITIVES toxic and UNLABELLED other training documents, the
 first by a hash of the id), so it costs the same at any size; scoring reads every text whole.
 Features are kept that two toxic documents share and that are far more frequent in toxic
-text than in clean text, as the prior divides the unlabelled. The class prior is the toxic share of the training labels.
+text than in clean text, as the prior divides the unlabelled. They are counted in Spark; the
+driver gets the counts of those that two toxic documents share, and of each document only the
+features that were kept. The class prior is the toxic share of the training labels, with one
+toxic and one clean label added, and at most MOST_PRIOR, so that a text without any feature
+counts as clean.
 
 Training rows are those whose crc32 of the id as text isn't divisible by FOLDS; labels of
 other rows are never read. Labels, language, source and id are no inputs of a score.
 
-Defined cases: null, empty and wordless texts score as a text without any feature; a null id
-counts as the empty string in the fold rule; labels null or other than 0 and 1 are ignored,
-of repeated labels any 1 makes a document toxic; without toxic training documents every score
-is the prior; repeated rows are scored each.
+Defined cases: null, empty and wordless texts score as a text without any feature; very long
+texts are read whole; a null id counts as the empty string in the fold rule; labels null or
+other than 0 and 1 are ignored, of repeated labels any 1 makes a document toxic; ties of the
+samples go to the lower id; without toxic training documents every score is the prior;
+repeated rows are scored each; a column that has the score's name already is an error; an empty
+table has no scores, and without labels the prior is one half or MOST_PRIOR.
 """
 
 from __future__ import annotations
@@ -29,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import column_bytes, map_arrow, spread, table
+from lexiloom.llm.common import column_bytes, durable, map_arrow, spread, table
 from lexiloom.llm.words import SMALL, mix, word_hashes
 
 FOLDS = 5
 POSITIVES, UNLABELLED = 1500, 3000
-FEATURES = 4096
+MOST_PRIOR = 0.49
 #: Bytes of word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7, 8)
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
@@ -93,65 +99,75 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def choose(names: np.ndarray, in_toxic: np.ndarray, in_other: np.ndarray, n_toxic: int, n_other: int, prior: float) -> np.ndarray:
+    """The features, ascending, that set toxic texts apart from what the prior leaves of the unlabelled as clean; counted in so many texts of each kind."""
+    share, base = (in_toxic + SMOOTH) / (n_toxic + 1), (in_other + SMOOTH) / (n_other + 1)
+    clean = np.maximum(base - prior * share, SMOOTH / (n_other + 1)) / (1 - prior)
+    ratio = np.log(share / clean)
+    pooled = (in_toxic + in_other + SMOOTH) / (n_toxic + n_other + 1)
+    chance = np.sqrt(pooled * (1 - pooled) * (1 / max(n_toxic, 1) + 1 / max(n_other, 1)))  # deviation of the difference of two shares
+    return np.sort(names[(in_toxic >= 2) & (ratio > RATIO) & ((share - base) / chance > SIGNIFICANCE)])
+
+
 def select_features(toxic: list[np.ndarray], other: list[np.ndarray], prior: float) -> np.ndarray:
-    """The features, ascending, that set toxic texts apart from what the prior leaves of the unlabelled as clean."""
+    """choose() from the distinct features of each text."""
     if not toxic:
         return np.zeros(0, np.uint64)
     names, in_toxic = np.unique(np.concatenate(toxic), return_counts=True)
-    names, in_toxic = names[in_toxic >= 2], in_toxic[in_toxic >= 2]
-    in_other = np.zeros(len(names), np.int64)
-    for f in other:
-        at = np.searchsorted(names, f)
-        at = at[at < len(names)][names[at[at < len(names)]] == f[at < len(names)]]
-        in_other[at] += 1
-    share, base = (in_toxic + SMOOTH) / (len(toxic) + 1), (in_other + SMOOTH) / (len(other) + 1)
-    clean = np.maximum(base - prior * share, SMOOTH / (len(other) + 1)) / (1 - prior)
-    ratio = np.log(share / clean)
-    pooled = (in_toxic + in_other + SMOOTH) / (len(toxic) + len(other) + 1)
-    chance = np.sqrt(pooled * (1 - pooled) * (1 / len(toxic) + 1 / max(len(other), 1)))  # deviation of the difference of two shares
-    keep = (ratio > RATIO) & ((share - base) / chance > SIGNIFICANCE)
-    gain = np.where(keep, in_toxic * ratio, -1.0)
-    chosen = np.argsort(-gain, kind="stable")[: min(FEATURES, int(keep.sum()))]
-    return np.sort(names[chosen])
+    found, count = np.unique(np.concatenate(other), return_counts=True) if other else (names[:0], in_toxic[:0])
+    at = np.minimum(np.searchsorted(found, names), max(len(found) - 1, 0))
+    in_other = np.where(found[at] == names, count[at], 0) if len(found) else np.zeros(len(names), np.int64)
+    return choose(names, in_toxic, in_other, len(toxic), len(other), prior)
 
 
-def train(toxic: list[np.ndarray], other: list[np.ndarray], prior: float) -> Model:
-    """The model from the distinct features of toxic and of unlabelled texts."""
-    features = select_features(toxic, other, prior)
-    bias = float(np.log(prior / (1 - prior)))
-    if not len(features):
-        return Model(features, np.zeros(0), bias, prior)
+#: Texts by their features: row numbers, feature numbers, and how many texts.
+Sparse = tuple[np.ndarray, np.ndarray, int]
 
-    def sparse(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        rows, cols = [], []
-        for i, f in enumerate(texts):
-            at = np.searchsorted(features, f)
-            at = at[(at < len(features)) & (features[np.minimum(at, len(features) - 1)] == f)]
-            rows.append(np.full(len(at), i))
-            cols.append(at)
-        return np.concatenate(rows), np.concatenate(cols), len(texts)
 
-    p, u = sparse(toxic), sparse(other)
-    w = np.zeros(len(features) + 1)
-    w[-1] = bias
-    first, second = np.zeros_like(w), np.zeros_like(w)
+def sparse(numbers: list[np.ndarray]) -> Sparse:
+    rows = np.repeat(np.arange(len(numbers)), [len(n) for n in numbers])
+    return rows, np.concatenate([*numbers, np.zeros(0, np.int64)]).astype(np.int64), len(numbers)
+
+
+def numbers_of(features: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which of the features a text with these distinct ones has."""
+    at = np.searchsorted(features, own)
+    return at[(at < len(features)) & (features[np.minimum(at, len(features) - 1)] == own)] if len(features) else at[:0]
+
+
+def forward(w: np.ndarray, x: Sparse) -> np.ndarray:
+    return np.bincount(x[0], w[x[1]], x[2]) + w[-1]
+
 
-    def forward(x: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
-        return np.bincount(x[0], w[x[1]], x[2]) + w[-1]
+def risks(w: np.ndarray, p: Sparse, u: Sparse, prior: float) -> tuple[float, float]:
+    """The risks of toxic texts as toxic, and of clean ones as clean as the unlabelled and the prior tell it."""
+    zp, zu = forward(w, p), forward(w, u)
+    as_clean = np.logaddexp(0, zu).mean() if u[2] else 0.0
+    return prior * float(np.logaddexp(0, -zp).mean()), float(as_clean - prior * np.logaddexp(0, zp).mean())
 
-    def back(x: tuple[np.ndarray, np.ndarray, int], g: np.ndarray) -> np.ndarray:
-        """The gradient of a mean of losses whose slopes are g."""
+
+def descent(w: np.ndarray, p: Sparse, u: Sparse, prior: float) -> np.ndarray:
+    """The gradient of the sum of both risks, or, where the second is below any true one, of its opposite."""
+
+    def back(x: Sparse, g: np.ndarray) -> np.ndarray:
         g = g / max(x[2], 1)
-        return np.append(np.bincount(x[1], g[x[0]], len(features)), g.sum())
+        return np.append(np.bincount(x[1], g[x[0]], len(w) - 1), g.sum())
+
+    sp = sigmoid(forward(w, p))
+    negative = back(u, sigmoid(forward(w, u))) - prior * back(p, sp)
+    return -negative if risks(w, p, u, prior)[1] < 0 else prior * back(p, sp - 1) + negative
 
+
+def weigh(features: np.ndarray, p: Sparse, u: Sparse, prior: float) -> Model:
+    """The model of these features, from toxic and unlabelled texts."""
+    bias = float(np.log(prior / (1 - prior)))
+    if not len(features):
+        return Model(features, np.zeros(0), bias, prior)
+    w = np.zeros(len(features) + 1)
+    w[-1] = bias
+    first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        zp, zu = forward(p), forward(u)
-        as_clean_u, as_clean_p = np.logaddexp(0, zu).mean() if u[2] else 0.0, np.logaddexp(0, zp).mean()
-        negative = back(u, sigmoid(zu)) - prior * back(p, sigmoid(zp))
-        if as_clean_u - prior * as_clean_p < 0:  # below any true risk: undo it
-            gradient = -negative
-        else:
-            gradient = prior * back(p, sigmoid(zp) - 1) + negative
+        gradient = descent(w, p, u, prior)
         gradient[:-1] += DECAY * w[:-1]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
@@ -162,6 +178,12 @@ def train(toxic: list[np.ndarray], other: list[np.ndarray], prior: float) -> Mod
     return Model(features, w[:-1].copy(), float(w[-1]), prior)
 
 
+def train(toxic: list[np.ndarray], other: list[np.ndarray], prior: float) -> Model:
+    """The model from the distinct features of toxic and of unlabelled texts."""
+    features = select_features(toxic, other, prior)
+    return weigh(features, *(sparse([numbers_of(features, f) for f in texts]) for texts in (toxic, other)), prior)
+
+
 def in_fold(id_col: Column) -> Column:
     """Whether a row is held out."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
@@ -172,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(~in_fold(F.col(id_col)) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("k")).agg(F.max(label_col).alias("y"))
     n, positive = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    prior = min(0.49, max(0.01, (positive + 1) / (n + 2)))  # without any feature, texts count as clean
+    prior = min(MOST_PRIOR, (positive + 1) / (n + 2))
     order = F.xxhash64("k")
     toxic_ids = known.where("y = 1").select("k").orderBy(order, "k").limit(POSITIVES)
     ids = docs.where(~in_fold(F.col(id_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("k"))
@@ -189,14 +211,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             new[1:] = (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])
             rows, found = rows[new], found[new]
             cut = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            raw = [found[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["kind", "features"])
+            lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(found.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["kind", "features"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).join(F.broadcast(wanted), "k").select("kind", "t")  # at most POSITIVES + UNLABELLED ids
-    sample = sorted((r.kind, bytes(r.features)) for r in map_arrow(chosen, run, "kind int, features binary", 1).collect())  # the bounded sample
-    toxic = [np.frombuffer(f, np.uint64) for kind, f in sample if kind == 1]
-    other = [np.frombuffer(f, np.uint64) for kind, f in sample if kind == 0]
-    return train(toxic, other, prior)
+    sample = durable(map_arrow(chosen, run, "kind int, features array<long>", 1), "sample")
+    kinds = {r.kind: r["count"] for r in sample.groupBy("kind").count().collect()}
+    counts = sample.select("kind", F.explode("features").alias("f")).groupBy("f").agg(F.sum("kind").alias("toxic"), F.sum(1 - F.col("kind")).alias("other")).where("toxic >= 2").toArrow()
+    names = counts["f"].to_numpy().view(np.uint64)
+    features = choose(names, counts["toxic"].to_numpy(), counts["other"].to_numpy(), kinds.get(1, 0), kinds.get(0, 0), prior)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [numbers_of(features, x.values.to_numpy().view(np.uint64)) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["kind", "features"])
+
+    kept = sorted((r.kind, r.features) for r in sample.mapInArrow(known, "kind int, features array<long>").collect())  # of the bounded sample, the chosen features
+    p, u = (sparse([np.array(f, np.int64) for kind, f in kept if kind == of]) for of in (1, 0))
+    return weigh(features, p, u, prior)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
