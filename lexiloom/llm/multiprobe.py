@@ -51,7 +51,7 @@ HELD, SCORED = 200_000, 1 << 15
 ROUGH = 1e-9
 SEED = 5
 NAMES = ["t", "tile", "y", "side", "cid", "v", "ids", "cells"]
-SCHEMA = "t int, tile long, y int, side int, cid long, v binary, ids array<long>, cells array<long>"
+SCHEMA = "t int, tile long, y int, side int, cid long, v binary, ids array<long>, cells array<int>"
 
 
 def projections(dim: int, t: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +119,7 @@ def by_length(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     values, at = column.values.to_numpy(), column.offsets.to_numpy()
     for dim in np.unique(lengths):
         rows = (lengths == dim).nonzero()[0]
-        yield rows, values[at[rows][:, None] + np.arange(dim)]
+        yield rows, values[at[rows][:, None] + np.arange(dim)].astype(float)
 
 
 class Plan:
@@ -133,6 +133,11 @@ class Plan:
         self.large: dict[tuple[int, int], tuple[int, int]] = {}
 
 
+def short(names: np.ndarray) -> np.ndarray:
+    """Half of a cell's name, enough within a tile: two cells that share it share their candidates."""
+    return (names >> 32).astype(np.int32)
+
+
 def tile_of(cells: np.ndarray, plan: Plan) -> np.ndarray:
     return (mix(cells.view(np.uint64)) % np.uint64(plan.tiles)).astype(np.int64)
 
@@ -144,20 +149,20 @@ def dealt_rows(classes: DataFrame, plan: Plan) -> DataFrame:
         for batch in batches:
             cid = batch.column("cid").to_numpy()
             for rows, x in by_length(batch.column("v")):
-                unit, raw = unit_rows(x), x.astype(plan.kind)
+                unit, raw = unit_rows(x), x.astype(plan.kind, copy=False)
                 for t in range(TABLES):
                     names = cell_name(cells_of(unit, t, plan.hashes)[0], x.shape[1], t)
                     own = x.shape[1] * TABLES + t
                     tile, y = tile_of(names, plan), np.zeros(len(rows), np.int32)
                     who = np.arange(len(rows))
                     for (of, cell), (xs, ys) in plan.large.items():
-                        if of == own and len(mine := (names == cell).nonzero()[0]):
+                        if of == own and len(mine := (short(names) == cell).nonzero()[0]):
                             tile[mine] = -1 - (mix(cid[rows[mine]].view(np.uint64)) % np.uint64(xs)).astype(np.int64) * 1_000_003 - abs(cell) % 1_000_003
                             who = np.concatenate([who, np.repeat(mine, ys - 1)])
                             y = np.concatenate([y, np.tile(np.arange(1, ys, dtype=np.int32), len(mine))])
                     got = batch.take(pa.array(rows[who]))
                     n = len(who)
-                    one = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(names[who]))
+                    one = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(short(names[who])))
                     columns = [np.full(n, own, np.int32), tile[who], y, np.ones(n, np.int32), got.column("cid"), pa.array([r.tobytes() for r in raw[who]], pa.binary()), got.column("ids"), one]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], NAMES)
 
@@ -178,7 +183,7 @@ def dealt_queries(asking: DataFrame, plan: Plan) -> DataFrame:
         for batch in batches:
             cid = batch.column("cid").to_numpy()
             for rows, x in by_length(batch.column("v")):
-                unit, raw = unit_rows(x), x.astype(plan.kind)
+                unit, raw = unit_rows(x), x.astype(plan.kind, copy=False)
                 for lo in range(0, len(rows), 256):
                     for t in range(TABLES):
                         names = probed(unit[lo : lo + 256], t, plan, sets)
@@ -187,7 +192,7 @@ def dealt_queries(asking: DataFrame, plan: Plan) -> DataFrame:
                         names = names.ravel()
                         tile, y = tile_of(names, plan), np.zeros(len(names), np.int32)
                         for (of, cell), (xs, ys) in plan.large.items():
-                            if of == own and len(mine := (names == cell).nonzero()[0]):
+                            if of == own and len(mine := (short(names) == cell).nonzero()[0]):
                                 chunk = (mix(cid[rows[who[mine]]].view(np.uint64) + np.uint64(1)) % np.uint64(ys)).astype(np.int32)
                                 tile = np.concatenate([tile, *[np.full(len(mine), -1 - i * 1_000_003 - abs(cell) % 1_000_003) for i in range(xs)]])
                                 y, who, names = np.concatenate([y, np.tile(chunk, xs)]), np.concatenate([who, np.tile(who[mine], xs)]), np.concatenate([names, np.tile(names[mine], xs)])
@@ -201,7 +206,7 @@ def dealt_queries(asking: DataFrame, plan: Plan) -> DataFrame:
                         at = new.nonzero()[0]
                         n = len(at)
                         got = batch.take(pa.array(rows[who[at]]))
-                        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(who)).astype(np.int32)), pa.array(names))
+                        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(who)).astype(np.int32)), pa.array(short(names)))
                         columns = [np.full(n, own, np.int32), tile[at], y[at], np.zeros(n, np.int32), got.column("cid"), pa.array([r.tobytes() for r in raw[who[at]]], pa.binary()), got.column("ids"), lists]
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], NAMES)
 
@@ -328,7 +333,7 @@ def against_all(classes: DataFrame, asking: DataFrame, kind: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 raw = pa.array([np.array(v, kind).tobytes() for v in batch.column("v").to_pylist()], pa.binary())
-                one = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32)), pa.array(np.zeros(batch.num_rows, np.int64)))
+                one = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32)), pa.array(np.zeros(batch.num_rows, np.int32)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in NAMES[:5]], raw, batch.column("ids"), one], NAMES)
 
         return df.mapInArrow(run, SCHEMA)
@@ -338,6 +343,29 @@ def against_all(classes: DataFrame, asking: DataFrame, kind: str) -> DataFrame:
     return search(binary(rows.unionByName(queries)), kind)
 
 
+def against_sample(classes: DataFrame, sample: dict[int, np.ndarray]) -> DataFrame:
+    """The same for a bounded sample of queries, which each task gets whole; no row is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[Best, np.ndarray]] = {}
+        for dim in {len(v) for v in sample.values()}:
+            cid = np.array([c for c, v in sample.items() if len(v) == dim])
+            best[dim] = Best(np.stack([sample[c] for c in cid.tolist()])), cid
+        for batch in batches:
+            cid, ids = batch.column("cid").to_numpy(), batch.column("ids").to_pylist()
+            for rows, x in by_length(batch.column("v")):
+                if x.shape[1] in best:
+                    members = np.empty(len(rows), object)
+                    members[:] = [ids[i] for i in rows.tolist()]
+                    of = best[x.shape[1]][0]
+                    of.offer(np.arange(len(of.x)), x, unit_rows(x), cid[rows], members)
+        for of, cid in best.values():
+            if of.n or len(of.found[0]):
+                yield of.rows(cid)
+
+    return classes.select("cid", "v", "ids").mapInArrow(run, "q long, c long, score double, ids array<long>")
+
+
 def best_of(met: DataFrame, keep: int) -> DataFrame:
     """The keep + 1 best distinct classes of each query."""
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
@@ -348,10 +376,10 @@ def fitted(classes: DataFrame, n: int, kind: str) -> Plan:
     """Projections and probes that find RECALL of the neighbours of FIT_QUERIES classes, found by comparing these with all."""
     tiles = max(1, math.ceil(n / TILE_ROWS))
     most = min(MOST_HASHES, max(LEAST_HASHES, round(math.log2(max(2, n)))))
-    sample = durable(classes.orderBy(F.xxhash64("h1", F.lit(SEED)), "cid").limit(FIT_QUERIES).select("cid", "v", "ids"), "sample")
-    near = best_of(against_all(classes, sample, kind), KEEP).where("q <> c").select("q", "c")
-    pairs = near.join(classes.select(F.col("cid").alias("c"), F.col("v").alias("w")), "c").join(F.broadcast(sample.select(F.col("cid").alias("q"), "v")), "q")
-    pairs = [(np.array(r.v), np.array(r.w)) for r in pairs.select("v", "w").collect()]  # FIT_QUERIES x (KEEP + 1) at most
+    sample = {r.cid: np.array(r.v, float) for r in classes.orderBy(F.xxhash64("h1", F.lit(SEED)), "cid").limit(FIT_QUERIES).select("cid", "v").collect()}
+    near = best_of(against_sample(classes, sample), KEEP).where("q <> c").select("q", "c")  # FIT_QUERIES x (KEEP + 1) at most
+    found = classes.join(F.broadcast(near), F.col("cid") == F.col("c")).select("q", "v").collect()
+    pairs = [(sample[r.q], np.array(r.v, float)) for r in found]
     for hashes in range(most, LEAST_HASHES - 1, -1):
         plan = Plan(hashes, MOST_PROBES, tiles, kind)
         sets = probe_sets(hashes, MOST_PROBES)
@@ -386,7 +414,7 @@ def large_cells(rows: DataFrame, asking: DataFrame, plan: Plan, n: int) -> None:
     hot = cells.where(F.col("count") > max(TILE_ROWS, HOT * n)).collect()
     if hot:
         visits = dealt_queries(asking, plan).select("t", F.explode("cells").alias("cell"))
-        few = F.broadcast(rows.sparkSession.createDataFrame([(r.t, r.cell) for r in hot], "t int, cell long"))
+        few = F.broadcast(rows.sparkSession.createDataFrame([(r.t, r.cell) for r in hot], "t int, cell int"))
         asked = {(r.t, r.cell): r["count"] for r in visits.join(few, ["t", "cell"]).groupBy("t", "cell").count().collect()}
         plan.large = {(r.t, r.cell): (math.ceil(r["count"] / max(TILE_ROWS, HOT * n)), math.ceil(asked.get((r.t, r.cell), 1) / TILE_QUERIES)) for r in hot}
 
@@ -396,7 +424,7 @@ def nearest(rows: DataFrame, every: int = EVERY, keep: int = KEEP, id_col: str =
     if not 1 <= keep <= KEEP:
         raise ValueError(f"keep must be from 1 to {KEEP}")
     kind = "<f4" if rows.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"
-    v = F.col(vector_col).cast("array<double>")
+    v = F.col(vector_col) if kind == "<f4" else F.col(vector_col).cast("array<double>")
     whole = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     valid = rows.where(whole & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
     valid = valid.withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")})
