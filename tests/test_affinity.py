@@ -52,3 +52,22 @@ def test_top_shuffles_no_pairs(spark):
     m = m.repartition(3).localCheckpoint()
     n = m.count()
     assert shuffled(spark, affinity.most_alike(m, m.where("target_id % 2 = 0"), 2)) < 2 * n + 300 * 2 * 4
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_pairs(spark, monkeypatch, block):
+    for name in ("ROWS", "QUERIES", "COLUMNS"):
+        monkeypatch.setattr(affinity, name, block)
+    x, m = entries(spark, 40, 7)
+    asked = m.where("target_id % 5 = 0")
+    pairs = [(q, j) for q in range(0, 40, 5) for j in range(40) if x[q] @ x[j] > 0]
+    got = {(r.query_id, r.target_id): r.affinity for r in affinity.affinity(m, asked).collect()}
+    assert got == {p: pytest.approx(x[p[0]] @ x[p[1]]) for p in pairs}
+    got = {(r.query_id, r.target_id): r.d2 for r in affinity.squared_distances(m, asked).collect()}
+    assert got == {(q, j): pytest.approx(((x[q] - x[j]) ** 2).sum(), abs=1e-12) for q, j in pairs}
+
+
+def test_distances_shuffle_no_pairs(spark):
+    _, m = entries(spark, 300, 12, share=0.9)
+    m = m.repartition(3).localCheckpoint()
+    assert shuffled(spark, affinity.squared_distances(m, m.where("target_id % 2 = 0"))) < 2 * m.count()
