@@ -37,3 +37,7 @@ def same_bits(spark, path, name):
 
 def test_emb_l2_normalize(spark, vectors_dir):
     same_bits(spark, vectors_dir, "emb_l2_normalize")
+
+
+def test_emb_scale(spark, vectors_dir):
+    same_bits(spark, vectors_dir, "emb_scale")
