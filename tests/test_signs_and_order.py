@@ -41,3 +41,7 @@ def test_emb_l2_normalize(spark, vectors_dir):
 
 def test_emb_scale(spark, vectors_dir):
     same_bits(spark, vectors_dir, "emb_scale")
+
+
+def test_emb_truncate(spark, vectors_dir):
+    same_bits(spark, vectors_dir, "emb_truncate")
