@@ -45,3 +45,15 @@ def test_emb_scale(spark, vectors_dir):
 
 def test_emb_truncate(spark, vectors_dir):
     same_bits(spark, vectors_dir, "emb_truncate")
+
+
+def test_matrix_text_format(spark, vectors_dir):
+    same_bits(spark, vectors_dir, "matrix_text_format")
+
+
+def test_printed_fields(spark):
+    df = spark.createDataFrame([([0.0078125, -1e-7, float("nan"), None, float("inf")],), (None,)], "v array<double>")
+    assert [r[0] for r in df.select(io.vector_text(df.v)).collect()] == ["+0.007812 -0.000000 +nan +inf ", None]
+    back = spark.createDataFrame([("+nan -0.5 x +inf",)], "t string")
+    got = back.select(io.parse_vector(back.t)).first()[0]
+    assert np.isnan(got[0]) and got[1:] == [-0.5, None, float("inf")]
