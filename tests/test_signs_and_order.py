@@ -57,3 +57,7 @@ def test_printed_fields(spark):
     back = spark.createDataFrame([("+nan -0.5 x +inf",)], "t string")
     got = back.select(io.parse_vector(back.t)).first()[0]
     assert np.isnan(got[0]) and got[1:] == [-0.5, None, float("inf")]
+
+
+def test_libsvm_text_roundtrip(spark, vectors_dir):
+    same_bits(spark, vectors_dir, "libsvm_text_roundtrip")
