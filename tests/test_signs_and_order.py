@@ -61,3 +61,35 @@ def test_printed_fields(spark):
 
 def test_libsvm_text_roundtrip(spark, vectors_dir):
     same_bits(spark, vectors_dir, "libsvm_text_roundtrip")
+
+
+def test_matrix_file_roundtrip(spark, vectors_dir):
+    same_bits(spark, vectors_dir, "matrix_file_roundtrip")
+
+
+def files(tmp_path, parts):
+    """Files in this order, the later the larger: Spark reads large files first."""
+    for i, lines in enumerate(parts):
+        (tmp_path / f"part-{i:05d}-x-c000.txt").write_text("".join(f"{x}\n" for x in lines))
+    return str(tmp_path)
+
+
+PARTS = [range(3), range(3, 40), range(40, 2000)]
+
+
+def test_matrix_rows_follow_the_files(spark, tmp_path):
+    path = files(tmp_path, [[f"+{x}.000000 " for x in p] for p in PARTS])
+    assert all(r.vec == [float(r.row_id)] for r in io.read_matrix(spark, path).collect())
+
+
+def test_splits_of_a_file_and_late_parts(spark, tmp_path):
+    path = files(tmp_path, [[f"+{x}.000000 " for x in p] for p in PARTS])
+    (tmp_path / "part-100000-x-c000.txt").write_text("+2000.000000 \n")
+    (tmp_path / "part-99999-x-c000.txt").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = io.read_matrix(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 2001 and all(r.vec == [float(r.row_id)] for r in got)
