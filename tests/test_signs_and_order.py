@@ -93,3 +93,13 @@ def test_splits_of_a_file_and_late_parts(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert len(got) == 2001 and all(r.vec == [float(r.row_id)] for r in got)
+
+
+def test_sparse_file_roundtrip(spark, vectors_dir):
+    same_bits(spark, vectors_dir, "sparse_file_roundtrip")
+
+
+def test_sparse_rows_follow_the_files(spark, tmp_path):
+    path = files(tmp_path, [[f"0:{x}.000000 3:1.000000" for x in p] for p in PARTS])
+    rows, width = io.read_sparse(spark, path)
+    assert width == 4 and all(r.val[0] == float(r.target_id) for r in rows.collect())
