@@ -103,3 +103,9 @@ def test_sparse_rows_follow_the_files(spark, tmp_path):
     path = files(tmp_path, [[f"0:{x}.000000 3:1.000000" for x in p] for p in PARTS])
     rows, width = io.read_sparse(spark, path)
     assert width == 4 and all(r.val[0] == float(r.target_id) for r in rows.collect())
+
+
+def test_vocabulary_ids_follow_the_files(spark, tmp_path):
+    path = files(tmp_path, [[f"w{x} {5000 - x}" for x in p] for p in PARTS])
+    got = io.read_vocab(spark, path).collect()
+    assert len(got) == 2000 and all((r.word, r.freq) == (f"w{r.word_id}", 5000 - r.word_id) for r in got)
