@@ -7,8 +7,10 @@ BITS * acos(2J / (1 + J)) / pi bits: 39 of 256 at 0.8, 26 at 0.9.
 
 Candidates: nodes that agree on all of some sample of bits share a bucket; there are as many
 samples as give a pair that differs in the share REACH of its bits (more than pairs of 0.8 do
-on the mean) a bucket in common with probability RECALL. In a bucket, pairs within DISTANCE
-bits are joined. Unrelated texts are 8 standard deviations away from that.
+on the mean) a bucket in common with probability RECALL. As in simhash, a table holds each node's
+Hamming distances to PIVOTS reference fingerprints, here nodes of its bucket, as random ones are all
+equally far from unrelated texts; a pair whose distances to a pivot differ by more than DISTANCE is
+discarded, and survivors within DISTANCE bits are joined. Unrelated texts are 8 standard deviations away from that.
 
 Decision: every true pair that was met lies in one group of joined nodes, so each group is
 compared by exact shingle sets, and only pairs of SIMILARITY or more link. Large buckets and
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.common import column_bytes, durable, map_arrow, spread
 from lexiloom.llm.components import components, with_classes
-from lexiloom.llm.simhash import BUCKET, PAIRS, SEED, TILE, Parts, keep_least
+from lexiloom.llm.simhash import BUCKET, PAIRS, PIVOTS, SEED, TILE, Parts, keep_least
 from lexiloom.llm.words import mix, word_hashes
 
 SIMILARITY = 0.8
@@ -140,25 +142,58 @@ def groups(batches: Iterator[pa.RecordBatch], key: int, rows: int) -> Iterator[t
         yield bounded(pa.Table.from_batches(held))
 
 
-def near_fingerprints(fps: np.ndarray, side: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of a bucket within distance; side: 0 pairs with all, 1 and 2 only with each other."""
-    n, parts, out = len(fps), Parts(len(fps)), []
-    step = max(1, PAIRS // n)
-    for lo in range(0, n, step):
-        hi = min(n, lo + step)
-        near = np.zeros((hi - lo, n), np.uint16)
-        for c in range(fps.shape[1]):
-            near += np.bitwise_count(fps[lo:hi, c, None] ^ fps[None, :, c])
-        near = (near <= distance) & (np.arange(n)[None, :] > np.arange(lo, hi)[:, None])
-        near &= (side[lo:hi, None] == 0) | (side[lo:hi, None] != side[None, :])
-        i, j = near.nonzero()
+def pivot_distances(bucket: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """The pivot distance table: each node's Hamming distances to PIVOTS nodes spread over its bucket (a number for each node, ascending)."""
+    lo, hi = np.searchsorted(bucket, bucket), np.searchsorted(bucket, bucket, side="right")
+    seen = np.empty((len(fps), PIVOTS), np.int16)
+    for p in range(PIVOTS):
+        seen[:, p] = apart(fps, fps[lo + p * (hi - lo) // PIVOTS])
+    return seen
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, row by row."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int16)
+
+
+def possible(seen: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose distances to no pivot differ by more than distance: by the triangle inequality the others are further apart."""
+    for p in range(seen.shape[1]):
+        keep = np.abs(seen[i, p] - seen[j, p]) <= distance
+        i, j = i[keep], j[keep]
+    return i, j
+
+
+def near_fingerprints(bucket: np.ndarray, fps: np.ndarray, side: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs within distance of each bucket (a number for each node, ascending); side: 0 pairs with all, 1 and 2 only with each other.
+
+    Nodes are ordered by their distance to the first pivot, so that only a window is paired; the table discards pairs, survivors are verified.
+    """
+    seen = pivot_distances(bucket, fps)
+    first = bucket.astype(np.int64) * (2 * BITS) + seen[:, 0]
+    order = np.argsort(first, kind="stable")
+    first, fps, side, seen = first[order], fps[order], side[order], seen[order]
+    last = np.searchsorted(first, np.minimum(first + distance, first // (2 * BITS) * (2 * BITS) + 2 * BITS - 1), side="right")
+    width = last - np.arange(len(fps)) - 1
+    ends, parts, out, lo = np.cumsum(width), Parts(len(fps)), [], 0
+    while lo < len(fps):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+        w = width[lo:hi]
+        i = np.repeat(np.arange(lo, hi), w)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
+        if side.any():
+            keep = (side[i] == 0) | (side[i] != side[j])
+            i, j = i[keep], j[keep]
         roots = parts.roots()
-        keep = roots[i + lo] != roots[j]
-        for a, b in zip((i[keep] + lo).tolist(), j[keep].tolist(), strict=True):
+        keep = roots[i] != roots[j]
+        i, j = possible(seen, i[keep], j[keep], distance)
+        keep = apart(fps[i], fps[j]) <= distance
+        for a, b in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
             x, y = parts.find(a), parts.find(b)
             if x != y:
                 parts.up[max(x, y)] = min(x, y)
-                out.append((a, b))
+                out.append((int(order[a]), int(order[b])))
+        lo = hi
     return out
 
 
@@ -212,10 +247,8 @@ def candidates(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
         for t, bounds in groups(batches, 4, 1 << 15):
             names, side = t["fp"].to_numpy(), t["side"].to_numpy()
             fps = np.stack([t[c].to_numpy() for c in FP], axis=1).view(np.uint64)
-            pairs = []
-            for lo, hi in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
-                pairs += [(a + lo, b + lo) for a, b in near_fingerprints(fps[lo:hi], side[lo:hi], distance)] if hi - lo > 1 else []
-            yield edges_of(names, pairs)
+            bucket = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            yield edges_of(names, near_fingerprints(bucket, fps, side, distance))
 
     dealt = nodes.select("fp", *FP).mapInArrow(keys, "which int, bits int, fp long, f0 long, f1 long, f2 long, f3 long")
     key = ["which", "bits"]
