@@ -1,6 +1,8 @@
 """Roundings to the sign of zero, printed ties, and lines numbered over several files."""
 
 import struct
+import threading
+import time
 
 import duckdb
 import numpy as np
@@ -109,3 +111,54 @@ def test_vocabulary_ids_follow_the_files(spark, tmp_path):
     path = files(tmp_path, [[f"w{x} {5000 - x}" for x in p] for p in PARTS])
     got = io.read_vocab(spark, path).collect()
     assert len(got) == 2000 and all((r.word, r.freq) == (f"w{r.word_id}", 5000 - r.word_id) for r in got)
+
+
+def test_vocabulary_ids_hold_when_splits_change(spark, tmp_path):
+    """Executors that come or go change how files are dealt out to tasks; here the setting stands for them."""
+    path = files(tmp_path, [[f"w{x} {5000 - x}" for x in p] for p in PARTS])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def change():
+        while not spark.sparkContext.statusTracker().getActiveStageIds():
+            time.sleep(0.001)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+
+    other = threading.Thread(target=change)
+    other.start()
+    try:
+        got = io.read_vocab(spark, path).collect()
+    finally:
+        other.join()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == 2000 and all((r.word, r.freq) == (f"w{r.word_id}", 5000 - r.word_id) for r in got)
+
+
+@pytest.fixture(scope="module")
+def marks_dir(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("marks")
+    texts = ["\ufeff \ufeff \ufeff \ufeffa \ufeff\ufeff b", "b \ufeffb c\ufeff \ufeff", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_vocab_file_roundtrip_keeps_byte_order_marks(spark, marks_dir):
+    df = own.QUERIES["vocab_file_roundtrip"](spark, marks_dir)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{marks_dir}/documents.parquet/*.parquet'")
+    want = c.execute(f"SELECT {', '.join(df.columns)} FROM ({own.ORACLE_SQL['vocab_file_roundtrip']})").fetchall()
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want) and want
+
+
+@pytest.mark.parametrize("gzip", [False, True])
+def test_written_lines_keep_byte_order_marks(spark, tmp_path, gzip):
+    lines = ["\ufeffa", "\ufeffa", "b", "\ufeff", "\ufeff\ufeff", "\ufeffc", None, "", "d\ufeff"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").repartition(3).persist()
+    before = spark.conf.get("spark.sql.files.maxRecordsPerFile")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "1")
+    try:
+        io.write_lines(df, str(tmp_path / "x"), gzip=gzip)
+        io.write_lines(df.coalesce(1), str(tmp_path / "y"), gzip=gzip)
+    finally:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", before)
+    for name in "xy":
+        assert sorted(r.value for r in io.read_lines(spark, str(tmp_path / name)).collect()) == sorted(x or "" for x in lines)
