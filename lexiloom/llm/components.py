@@ -9,8 +9,10 @@ from lexiloom.llm.common import durable, skew_join
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
-    """(u, m, n): the least of u and its neighbours v, and how many these are; partial minima are taken before the shuffle."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    """(u, m, n, off): the least of u and its neighbours v, how many these are, and whether u is no root or leaf of a star; partial results are taken before the shuffle."""
+    below = F.col("v") < F.col("u")
+    found = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"), F.count_if(below).alias("below"))
+    return found.select("u", F.least("u", "m").alias("m"), "n", ((F.col("below") > 0) & (F.col("n") > 1)).alias("off"))
 
 
 def components(edges: DataFrame, limit: int = 100) -> DataFrame:
@@ -18,25 +20,25 @@ def components(edges: DataFrame, limit: int = 100) -> DataFrame:
 
     Alternating large-star and small-star steps: each step replaces a node's edges by edges to
     the least neighbour, so the edges never become more, and a component ends as a star around
-    its least node. The edges of a hub are split among tasks. Each round is written to the shared
-    folder. Self-loops and repeated edges are allowed; null ends are dropped; no edges give no
-    rows; edges that don't settle in limit rounds are an error.
+    its least node; that is seen from the neighbours of each node, before a round. The edges of a
+    hub are split among tasks. Each step's tables are written to the shared folder, so that no plan
+    computes one twice, as large plans cost the driver memory. Self-loops and repeated edges are
+    allowed; null ends are dropped; no edges give no rows; edges that don't settle in limit rounds
+    are an error.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u <> v").distinct()
-    e = durable(e, "edges")
-    n = e.count()
-    mark = None
     for _ in range(limit):
+        e = durable(e, "edges")
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = skew_join(both.where("v > u"), _nearest(both), "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        nearest = _nearest(down)
-        small = skew_join(down, nearest, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = durable(small.union(nearest.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == (row.n, row.s) or row.n == 0:
+        nearest = durable(_nearest(both), "nearest")
+        if nearest.where("off").isEmpty():
             break
-        mark, n = (row.n, row.s), row.n
+        n = e.count()
+        large = skew_join(both.where("v > u"), nearest.select("u", "m", "n"), "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = durable(large, "down")  # the greater end stays first, as m <= u < v
+        nearest = durable(_nearest(down).select("u", "m", "n"), "nearest")
+        small = skew_join(down, nearest, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = small.union(nearest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")
     leaves = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
